@@ -1,15 +1,17 @@
-"""Toxicity by lexicon induction over a word graph.
+"""Toxicity by lexicon induction over word graphs, one for each language of the lang column.
 
-Over all documents, words in SUPPORT..COMMON of them are the graph's nodes (so their number is bounded by the length
-of documents, not by their count). Edges are positive pointwise mutual information of two nodes within WINDOW words,
-discounted for small counts. Labelled documents give seed terms, by likelihood ratio: those of toxic documents and
-those of clean ones. Random walks with restart from either set of seeds spread polarity over the graph; a word's
-weight is the standardised log ratio of the two. A document's score is the sum of its words' weights above LEXICON,
-over the square root of its words; the threshold is calibrated on the scores of all labelled documents.
+Over all documents of a language, words in SUPPORT..COMMON of them are the graph's nodes (so their number is bounded
+by the length of documents, not by their count). Edges are positive pointwise mutual information of two nodes within
+WINDOW words, discounted for small counts. Labelled documents give seed terms, by likelihood ratio: the SEEDS
+strongest of toxic documents, and all that are more frequent in clean ones. Random walks with restart from either
+set spread polarity over the graph; a word's weight is the standardised log ratio of the two, 0 for seeds of clean documents. A document's score is
+the sum of its words' weights above LEXICON, over the square root of its words; the threshold is calibrated on the
+scores of all labelled documents.
 
 Defined results: NULL and empty texts, and texts without lexicon words, score 0 and aren't flagged; documents
-without labels are scored alike; a document labelled twice counts twice; without any toxic label, or any toxic seed,
-nothing is flagged; ties between seed terms go by the word; repeated rows are flagged each.
+without labels are scored alike; a NULL language is one of its own; a document labelled twice counts twice; without
+toxic labels or toxic seeds in a language it has no lexicon; ties between seed terms go by the word's hash; repeated
+rows are flagged each.
 """
 
 from __future__ import annotations
@@ -24,41 +26,44 @@ from pyspark.sql import functions as F
 from .base import cut, documents, id_text, map_batches, ready
 from .kernel import buffers, slices, words
 
-SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS = 0.01, 0.10, 5, 10, 3
-SEEDS, CLEAN_SEEDS, SEED_RATIO, RESTART, ROUNDS, LEXICON = 8, 80, 15.0, 0.3, 40, 3.5
+SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS = 0.01, 0.10, 5, 10, 2
+SEEDS, SEED_RATIO, RESTART, ROUNDS, LEXICON = 10, 3.5, 0.3, 40, 5.0
 BINS, PRECISION = 4000, 0.95
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
-    """(h, n): the number of documents that have the word of each hash."""
+    """(lang, h, n): the number of documents of a language that have the word of each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
-        def flush() -> pa.RecordBatch:
-            h, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([x for _, x in held]))
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                h, inverse = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
+                n = np.bincount(inverse, np.concatenate([x for _, x in own]))
+                yield pa.record_batch([pa.array([lang]).take(pa.array(np.zeros(len(h), np.int64))), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "h", "n"])
             held.clear()
-            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for b in batches:
             data, at = buffers(b.column("text"))
+            names, lang = np.unique(np.array(b.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
             for i, j in slices(at, 1 << 21):
                 h, row, _, _ = words(data, at[i : j + 1])
-                if not len(h):
-                    continue
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
-                once = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
-                held.append(np.unique(h[once], return_counts=True))
-                size += len(held[-1][0])
+                once = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+                h, of = h[once], lang[i + row[once]]
+                for k in np.unique(of).tolist():
+                    own = np.unique(h[of == k], return_counts=True)
+                    held.setdefault(str(names[k]), []).append(own)
+                    size += len(own[0])
                 if size > 4_000_000:
-                    yield flush()
+                    yield from flush()
                     size = 0
-        if held:
-            yield flush()
+        yield from flush()
 
-    return docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(run, "lang string, h bigint, n bigint").groupBy("lang", "h").agg(F.sum("n").alias("n"))
 
 
 class Nodes:
@@ -112,7 +117,7 @@ def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
 
 
 def bags(docs: DataFrame, nodes: Nodes) -> DataFrame:
-    """(doc_id, n, ids): the number of words of each row, and those that are nodes, as many times as they occur."""
+    """(doc_id, lang, n, ids): the number of words of each row, and those that are nodes, as many times as they occur."""
     told = docs.sparkSession.sparkContext.broadcast(nodes)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -125,9 +130,9 @@ def bags(docs: DataFrame, nodes: Nodes) -> DataFrame:
             size[i:j] = np.bincount(row[number >= 0], minlength=j - i)
             ids.append(number[number >= 0])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-        return pa.record_batch([b.column("doc_id"), pa.array(total.astype(np.int32)), lists], ["doc_id", "n", "ids"])
+        return pa.record_batch([b.column("doc_id"), b.column("lang"), pa.array(total.astype(np.int32)), lists], ["doc_id", "lang", "n", "ids"])
 
-    return map_batches(docs, f, "doc_id bigint, n int, ids array<int>")
+    return map_batches(docs, f, "doc_id bigint, lang string, n int, ids array<int>")
 
 
 def spellings(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -187,21 +192,17 @@ def polarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, ratio: np.ndarray) ->
     size = len(ratio)
     order = np.argsort(-ratio, kind="stable")
     toxic = order[:SEEDS][ratio[order[:SEEDS]] >= SEED_RATIO]
-    if not len(toxic):
-        strongest = order[:SEEDS]
-        toxic = strongest[ratio[strongest] >= max(3.0, 0.5 * ratio[order[0]])] if size else order
-    clean = order[::-1][:CLEAN_SEEDS]
-    clean = clean[ratio[clean] < 1]
-    if not len(toxic) or not len(clean):
-        return np.zeros(size)
+    clean = np.flatnonzero(ratio < 0)
     w = ppmi(a, b, n, size)
     keep = (w > 0) & (n >= LEAST_PAIRS)
+    if not len(toxic) or not len(clean) or not keep.any():
+        return np.zeros(size)
     x, y = walk(a[keep], b[keep], w[keep], toxic, size), walk(a[keep], b[keep], w[keep], clean, size)
-    log = np.log((x + 1e-6) / (y + 1e-6))
+    log = np.log((x + 0.1 / size) / (y + 0.1 / size))
     middle = np.median(log)
     spread = max(0.05, 1.4826 * float(np.median(np.abs(log - middle))))
     weight = (log - middle) / spread
-    return np.where(weight > LEXICON, np.minimum(weight, 20.0), 0.0)
+    return np.where((weight > LEXICON) & (ratio > 0), np.minimum(weight, 20.0), 0.0)
 
 
 def calibrated(scores: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
@@ -215,22 +216,34 @@ def calibrated(scores: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> floa
 
 def induce(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, Nodes, float]:
     """The documents' bags, the words' weights, their numbers and the threshold."""
-    spark = ready(docs.sparkSession)
-    own = id_text(docs)
-    total = own.count()
-    low = max(LEAST_DOCS, SUPPORT * total)
-    chosen = document_frequency(own).filter((F.col("n") >= low) & (F.col("n") <= max(low, COMMON * total))).select("h").toArrow()
-    nodes = Nodes(np.asarray(chosen["h"].to_numpy(), np.int64).view(np.uint64))
+    ready(docs.sparkSession)
+    own = id_text(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    totals = own.groupBy("lang").agg(F.count("*").alias("total"))
+    low = F.greatest(F.lit(float(LEAST_DOCS)), SUPPORT * F.col("total"))
+    known = document_frequency(own).join(totals, "lang").filter((F.col("n") >= low) & (F.col("n") <= F.greatest(low, COMMON * F.col("total"))))
+    table = known.groupBy("h").agg(F.max(F.struct("n", "lang")).alias("top")).select("h", "top.lang").toPandas()
+    hashes = table["h"].to_numpy(np.int64).view(np.uint64)
+    nodes = Nodes(hashes)
+    home = table["lang"].to_numpy(dtype=object)[np.argsort(hashes, kind="stable")]
     size = len(nodes.h)
     held = cut(bags(own, nodes))
-    marked = held.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL"), "doc_id")
-    marked = cut(marked)
-    numbers = {r["t"]: r["n"] for r in marked.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
-    by = marked.select((F.col("toxic") > 0).alias("t"), F.explode(F.array_distinct("ids")).alias("k")).groupBy("t", "k").agg(F.count("*").alias("n")).toPandas()
-    counts = [np.bincount(p["k"], p["n"], size) if len(p := by[by["t"] == t]) else np.zeros(size) for t in (True, False)]
-    ratio = seed_ratio(*counts, numbers.get(True, 0), numbers.get(False, 0))
+    marked = cut(held.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL"), "doc_id"))
+    t = (F.col("toxic") > 0).alias("t")
+    numbers = {(r["t"], r["lang"]): r["n"] for r in marked.groupBy(t, "lang").agg(F.count("*").alias("n")).collect()}
+    by = marked.select(t, "lang", F.explode(F.array_distinct("ids")).alias("k")).groupBy("t", "lang", "k").agg(F.count("*").alias("n")).toPandas()
     pairs = pair_counts(own, nodes).toArrow()
-    weight = polarity(pairs["a"].to_numpy(), pairs["b"].to_numpy(), pairs["n"].to_numpy().astype(float), ratio) if numbers.get(True) else np.zeros(size)
+    a, b, n = (pairs[c].to_numpy() for c in ("a", "b", "n"))
+    weight = np.zeros(size)
+    for lang in sorted(set(home.tolist())):
+        own_nodes = np.flatnonzero(home == lang)
+        place = np.full(size, -1)
+        place[own_nodes] = np.arange(len(own_nodes))
+        inside = (place[a] >= 0) & (place[b] >= 0)
+        part = by[by["lang"] == lang]
+        counts = [np.bincount(p["k"], p["n"], size)[own_nodes] if len(p := part[part["t"] == x]) else np.zeros(len(own_nodes)) for x in (True, False)]
+        if numbers.get((True, lang)):
+            ratio = seed_ratio(*counts, numbers[True, lang], numbers.get((False, lang), 0))
+            weight[own_nodes] = polarity(place[a[inside]], place[b[inside]], n[inside].astype(float), ratio)
     spread = scored(marked, weight, "t boolean", lambda b: [pa.array(np.asarray(b.column("toxic")) > 0)], ["t"]).filter("score > 0")
     top = spread.agg(F.max("score")).first()[0]
     if not top:
