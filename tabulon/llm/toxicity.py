@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .base import cut, documents, id_text, map_batches, ready
 from .kernel import buffers, slices, words
 
-SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS = 0.01, 0.10, 5, 10, 2
+SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.005, 0.10, 5, 10, 2, 0.3
 SEEDS, SEED_RATIO, RESTART, ROUNDS, LEXICON = 10, 3.5, 0.3, 40, 5.0
 BINS, PRECISION = 4000, 0.95
 
@@ -166,13 +167,16 @@ def seed_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return np.where(toxic / max(1, n_toxic) >= clean / max(1, n_clean), 1, -1) * np.sqrt(np.maximum(g, 0))
 
 
-def ppmi(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    """Discounted positive pointwise mutual information of pairs, from all pair counts."""
-    degree = np.bincount(a, n, size) + np.bincount(b, n, size)
-    total = max(1.0, float(degree.sum()) / 2)
-    value = np.log(np.maximum(n * 2 * total, 1e-9) / (degree[a] * degree[b]))
-    low = np.minimum(degree[a], degree[b])
-    return np.maximum(value, 0) * (n / (n + 1)) * (low / (low + 1))
+def ppmi(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, w): pairs (a, b, n) of nodes (k, lang) of one language, with their discounted pointwise mutual information, if it is LEAST_INFORMATION or more (so that chance pairs, whose information goes to 0 as counts grow, don't reach the driver) and n is LEAST_PAIRS or more."""
+    inside = pairs.join(nodes.select(F.col("k").alias("a"), "lang"), "a").join(nodes.select(F.col("k").alias("b"), F.col("lang").alias("other")), "b").filter("lang = other").select("a", "b", "n", "lang")
+    ends = inside.select(F.explode(F.array("a", "b")).alias("k"), "n", "lang")
+    degree = ends.groupBy("k", "lang").agg(F.sum("n").alias("d"))
+    total = degree.groupBy("lang").agg(F.sum("d").alias("total"))
+    told = inside.join(degree.select(F.col("k").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("k").alias("b"), F.col("d").alias("db")), "b").join(total, "lang")
+    low = F.least("da", "db")
+    value = F.log(F.col("n") * F.col("total") / (F.col("da").cast("double") * F.col("db")))
+    return told.filter((value >= LEAST_INFORMATION) & (F.col("n") >= LEAST_PAIRS)).select("a", "b", (value * (F.col("n") / (F.col("n") + 1)) * (low / (low + 1))).alias("w"))
 
 
 def walk(a: np.ndarray, b: np.ndarray, w: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
@@ -187,17 +191,15 @@ def walk(a: np.ndarray, b: np.ndarray, w: np.ndarray, seeds: np.ndarray, size: i
     return p
 
 
-def polarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Weight of each word, from pair counts and the words' seed ratios: 0 for all without toxic seeds."""
+def polarity(a: np.ndarray, b: np.ndarray, w: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Weight of each word, from weighted edges and the words' seed ratios: 0 for all without seeds."""
     size = len(ratio)
     order = np.argsort(-ratio, kind="stable")
     toxic = order[:SEEDS][ratio[order[:SEEDS]] >= SEED_RATIO]
     clean = np.flatnonzero(ratio < 0)
-    w = ppmi(a, b, n, size)
-    keep = (w > 0) & (n >= LEAST_PAIRS)
-    if not len(toxic) or not len(clean) or not keep.any():
+    if not len(toxic) or not len(clean) or not len(a):
         return np.zeros(size)
-    x, y = walk(a[keep], b[keep], w[keep], toxic, size), walk(a[keep], b[keep], w[keep], clean, size)
+    x, y = walk(a, b, w, toxic, size), walk(a, b, w, clean, size)
     log = np.log((x + 0.1 / size) / (y + 0.1 / size))
     middle = np.median(log)
     spread = max(0.05, 1.4826 * float(np.median(np.abs(log - middle))))
@@ -231,19 +233,20 @@ def induce(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, N
     t = (F.col("toxic") > 0).alias("t")
     numbers = {(r["t"], r["lang"]): r["n"] for r in marked.groupBy(t, "lang").agg(F.count("*").alias("n")).collect()}
     by = marked.select(t, "lang", F.explode(F.array_distinct("ids")).alias("k")).groupBy("t", "lang", "k").agg(F.count("*").alias("n")).toPandas()
-    pairs = pair_counts(own, nodes).toArrow()
-    a, b, n = (pairs[c].to_numpy() for c in ("a", "b", "n"))
+    numbered = docs.sparkSession.createDataFrame(pd.DataFrame({"k": np.arange(size, dtype=np.int32), "lang": home.astype(str)}), "k int, lang string")
+    edges = ppmi(cut(pair_counts(own, nodes)), numbered).toArrow()
+    a, b, w = (edges[c].to_numpy() for c in ("a", "b", "w"))
     weight = np.zeros(size)
     for lang in sorted(set(home.tolist())):
         own_nodes = np.flatnonzero(home == lang)
         place = np.full(size, -1)
         place[own_nodes] = np.arange(len(own_nodes))
-        inside = (place[a] >= 0) & (place[b] >= 0)
+        inside = place[a] >= 0
         part = by[by["lang"] == lang]
         counts = [np.bincount(p["k"], p["n"], size)[own_nodes] if len(p := part[part["t"] == x]) else np.zeros(len(own_nodes)) for x in (True, False)]
         if numbers.get((True, lang)):
             ratio = seed_ratio(*counts, numbers[True, lang], numbers.get((False, lang), 0))
-            weight[own_nodes] = polarity(place[a[inside]], place[b[inside]], n[inside].astype(float), ratio)
+            weight[own_nodes] = polarity(place[a[inside]], place[b[inside]], w[inside], ratio)
     spread = scored(marked, weight, "t boolean", lambda b: [pa.array(np.asarray(b.column("toxic")) > 0)], ["t"]).filter("score > 0")
     top = spread.agg(F.max("score")).first()[0]
     if not top:
