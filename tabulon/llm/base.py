@@ -49,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Materialised as a Parquet table in the shared folder: for large tables, which take less room so than as checkpoints. Folders tabulon-* there can go when the job has ended."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -67,12 +74,14 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """f over each Arrow batch; an empty input gives no rows."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 1 << 30) -> DataFrame:
+    """f over each Arrow batch, or over rows of it of about so many bytes; an empty input gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None and out.num_rows:
-                yield out
+            step = max(1, int(b.num_rows * most / max(b.nbytes, most)))
+            for i in range(0, b.num_rows, step):
+                if (out := f(b.slice(i, step))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)

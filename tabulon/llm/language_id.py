@@ -53,7 +53,10 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer((mark + mark.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.cumsum(size + ORDER) - size
-    codes = np.where(raw < (1 << 16), _FOLD[0][np.minimum(raw, (1 << 16) - 1)], raw)
+    codes = _FOLD[0][np.minimum(raw, (1 << 16) - 1)]
+    if len(far := np.flatnonzero(raw >= 1 << 16)):  # beyond the table, letters stay as they are
+        points, where = np.unique(raw[far], return_inverse=True)
+        codes[far] = np.array([c if chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in points.tolist()], np.uint32)[where]
     spans = (first[:, None] - np.arange(1, ORDER + 1)).ravel()
     codes[spans] = BOS
     keep = np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]

@@ -120,8 +120,8 @@ class Network:
         gz = gh @ p["h"].T
         gy = (gz[:, 2 * self.C :] / size)[:, None, :] * inside
         rows, chans = np.arange(len(g))[:, None], np.arange(self.C)[None]
-        gy[rows, ia, chans] += gz[:, : self.C]
-        gy[rows, ib, chans] += gz[:, self.C : 2 * self.C]
+        gy[rows, ia, chans] += gz[:, : self.C] * inside[rows, ia, 0]
+        gy[rows, ib, chans] += gz[:, self.C : 2 * self.C] * left[rows, ib, 0]
         gy *= y > 0
         d["conv"], d["cb"] = cols.reshape(-1, cols.shape[2]).T @ gy.reshape(-1, self.C), gy.sum(axis=(0, 1))
         gc = gy @ p["conv"].T

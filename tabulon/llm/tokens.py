@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import cut, documents, id_text, map_batches, ready
+from .base import documents, id_text, map_batches, ready, stored
 from .kernel import buffers, slices, span_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -159,26 +159,44 @@ def word_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         ids = [np.array([whole[w]] if w in whole else e.encode_ordinary(w.decode("utf-8", "surrogatepass")), "<i4").tobytes() for w in b.column("word").to_pylist()]
         return pa.record_batch([b.column("h"), pa.array(ids, pa.binary())], ["h", "ids"])
 
-    return cut(map_batches(distinct_words(docs), f, "h bigint, ids binary"))
+    return stored(map_batches(distinct_words(docs), f, "h bigint, ids binary"), "words")
 
 
 class Table:
-    """Sorted hashes, and the ids of each one after the other."""
+    """Sorted hashes, how many ids each has, and the ids of each one after the other, as narrow as they can be: this is what is sent out."""
 
-    def __init__(self, h: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
-        order = np.argsort(h, kind="stable")
-        size = np.diff(offsets)[order]
-        self.h = h[order]
-        self.at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        self.size = size.astype(np.int32)
-        self.ids = ids[np.repeat(offsets[:-1][order] - self.at[:-1], size) + np.arange(self.at[-1])]
+    def __init__(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray):
+        self.h, self.ids = h, ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
+        self.size = size.astype(np.min_scalar_type(int(size.max(initial=0))))
+        self.starts: np.ndarray | None = None
 
     @staticmethod
-    def of(table: DataFrame) -> Table:
-        rows = table.toArrow()
-        ids = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-        data, at = buffers(ids.cast(pa.large_binary()).view(pa.large_string()))
-        return Table(np.asarray(rows["h"].to_numpy(), np.int64).view(np.uint64), at // 4, data.view("<i4") if len(data) else np.zeros(0, "<i4"))
+    def of(table: DataFrame, with_ids: bool = True) -> Table:
+        """Collected, or without the ids, which counting doesn't need."""
+        rows = table.select("h", "ids" if with_ids else (F.length("ids") / 4).cast("int").alias("size")).toArrow()
+        h = rows["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        if not with_ids:
+            return Table(h[order], rows["size"].to_numpy()[order], np.zeros(0, np.int32))
+        parts = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
+        data, at = buffers(parts.cast(pa.large_binary()).view(pa.large_string()))
+        flat, at = (data[at[0] : at[-1]].view("<i4") if len(data) else np.zeros(0, "<i4")), (at - at[0]) // 4
+        size = np.diff(at)[order]
+        out = np.zeros(len(flat), np.int32)
+        done = 0
+        for k in range(0, len(order), 1 << 18):  # in parts, to stay small
+            own, n = order[k : k + (1 << 18)], size[k : k + (1 << 18)]
+            take = np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[done : done + len(take)] = flat[take]
+            done += len(take)
+        return Table(h[order], size, out)
+
+    @property
+    def at(self) -> np.ndarray:
+        """Where the ids of each hash begin."""
+        if self.starts is None:
+            self.starts = (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.uint32 if len(self.ids) < 1 << 32 else np.int64)
+        return self.starts
 
     def find(self, h: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.h, h)
@@ -210,12 +228,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, broadcast: int = BROAD
             total, found = _counts(t, column)
             where = np.concatenate([np.zeros(0, np.int64), *found])
             number = t.size[where].astype(np.int64)
-            ids = t.ids[np.repeat(t.at[where] - (np.cumsum(number) - number), number) + np.arange(number.sum())]
+            ids = t.ids[np.repeat(t.at[where].astype(np.int64) - (np.cumsum(number) - number), number) + np.arange(number.sum())]
             offsets = np.concatenate([[0], np.cumsum(total)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=column.is_null() if column.null_count else None)
             return pa.record_batch([b.column("doc_id"), column, lists], ["doc_id", "text", "ids"])
 
-        return map_batches(id_text(docs), f, "doc_id bigint, text string, ids array<int>")
+        return map_batches(id_text(docs), f, "doc_id bigint, text string, ids array<int>", 4 << 20)
     return encode_by_join(docs, table)
 
 
@@ -234,10 +252,12 @@ def encode_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     rows = id_text(docs)
     once = rows.filter("text IS NOT NULL").select(key.alias("row"), "text").dropDuplicates(["row"])
-    words = map_batches(once, run, "row bigint, pos int, h bigint").hint("merge").join(table.hint("merge"), "h")
-    unhexed = F.transform(F.sequence(F.lit(0), (F.length("bytes") / 4).cast("int") - 1), lambda k: F.conv(F.concat(*[F.substring(F.hex("bytes"), 8 * k + 7 - 2 * x, 2) for x in range(4)]), 16, 10).cast("int"))
+    def lists(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([b.column("h"), pa.array([np.frombuffer(x, "<i4") for x in b.column("ids").to_pylist()], pa.list_(pa.int32()))], ["h", "ids"])
+
+    words = map_batches(once, run, "row bigint, pos int, h bigint", 4 << 20).hint("merge").join(map_batches(table, lists, "h bigint, ids array<int>").hint("merge"), "h")
     whole = words.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all"))
-    joined = whole.select("row", F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["ids"])), "")).alias("bytes")).select("row", unhexed.alias("ids"))
+    joined = whole.select("row", F.flatten("all.ids").alias("ids"))
     return rows.withColumn("row", key).join(joined, "row", "left").select("doc_id", "text", F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.coalesce("ids", F.array().cast("array<int>"))).alias("ids"))
 
 
@@ -269,12 +289,12 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY, broadcast: int = BROA
     n, size = table.agg(F.count("*"), F.sum(F.length("ids"))).first()
     if 20 * n + (size or 0) > broadcast:
         return encode_by_join(docs, table).filter("text IS NOT NULL").select("doc_id", F.size("ids").alias("n_tokens"))
-    told = spark.sparkContext.broadcast(Table.of(table))
+    told = spark.sparkContext.broadcast(Table.of(table, with_ids=False))
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([b.column("doc_id"), pa.array(_counts(told.value, b.column("text"))[0].astype(np.int32))], ["doc_id", "n_tokens"])
 
-    return map_batches(id_text(docs).filter("text IS NOT NULL"), f, "doc_id bigint, n_tokens int")
+    return map_batches(id_text(docs).filter("text IS NOT NULL"), f, "doc_id bigint, n_tokens int", 4 << 20)
 
 
 def histogram(counted: DataFrame) -> DataFrame:

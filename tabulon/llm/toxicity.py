@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, documents, id_text, map_batches, ready
+from .base import documents, id_text, map_batches, ready, stored
 from .kernel import buffers, slices, words
 
-SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.005, 0.10, 5, 10, 2, 0.3
+SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.008, 0.10, 5, 8, 2, 0.3
 SEEDS, SEED_RATIO, RESTART, ROUNDS, LEXICON = 10, 3.5, 0.3, 40, 5.0
 BINS, PRECISION = 4000, 0.95
 
@@ -228,13 +228,13 @@ def induce(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, N
     nodes = Nodes(hashes)
     home = table["lang"].to_numpy(dtype=object)[np.argsort(hashes, kind="stable")]
     size = len(nodes.h)
-    held = cut(bags(own, nodes))
-    marked = cut(held.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL"), "doc_id"))
+    held = stored(bags(own, nodes), "bags")
+    marked = held.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL"), "doc_id")
     t = (F.col("toxic") > 0).alias("t")
     numbers = {(r["t"], r["lang"]): r["n"] for r in marked.groupBy(t, "lang").agg(F.count("*").alias("n")).collect()}
     by = marked.select(t, "lang", F.explode(F.array_distinct("ids")).alias("k")).groupBy("t", "lang", "k").agg(F.count("*").alias("n")).toPandas()
     numbered = docs.sparkSession.createDataFrame(pd.DataFrame({"k": np.arange(size, dtype=np.int32), "lang": home.astype(str)}), "k int, lang string")
-    edges = ppmi(cut(pair_counts(own, nodes)), numbered).toArrow()
+    edges = ppmi(stored(pair_counts(own, nodes), "pairs"), numbered).toArrow()
     a, b, w = (edges[c].to_numpy() for c in ("a", "b", "w"))
     weight = np.zeros(size)
     for lang in sorted(set(home.tolist())):
