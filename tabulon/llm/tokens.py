@@ -124,7 +124,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     """(h, word) of each distinct word. A task hands on a word once for each stretch of about 4 million distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen, fresh, size_fresh = np.zeros(0, np.uint64), [], 0
         for b in batches:
             data, at = buffers(b.column("text"))
             for i, j in slices(at):
@@ -138,7 +138,11 @@ def distinct_words(docs: DataFrame) -> DataFrame:
                     h, where = h[new], where[new]
                 if not len(h):
                     continue
-                seen = np.sort(np.concatenate([seen, h])) if len(seen) < 1 << 22 else h
+                fresh.append(h)
+                size_fresh += len(h)
+                if size_fresh > 1 << 16 and size_fresh > len(seen) // 4:  # until then a word may be handed on again
+                    seen = np.unique(np.concatenate([*([seen] if len(seen) < 1 << 22 else []), *fresh]))
+                    fresh, size_fresh = [], 0
                 size = end[where] - start[where]
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 take = np.repeat(start[where] - offsets[:-1], size) + np.arange(offsets[-1])
