@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import classify, dates, text
 from tabulon.operators import joins, retrieval, sequences, timetable
+from tabulon.sources import html
+from tabulon.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,3 +294,21 @@ def q_exam_rows(spark, sf_dir):
     day = F.concat(F.dayofmonth("o_orderdate").cast("string"), F.lit(". "), F.get(months, F.month("o_orderdate") - 1), F.lit(" "), F.year("o_orderdate").cast("string"), F.lit("."))
     line = F.concat(F.lit("ОАС 2014 4 РИИ S"), F.col("o_orderkey").cast("string"), F.lit(" Базе података среда, "), day, F.lit(" 9:30:00"))
     return table(spark, sf_dir, "orders").select("o_orderkey", timetable.exam_row(line).alias("e")).filter("e.date IS NOT NULL").select("o_orderkey", "e.study_level", "e.course_code", "e.date", "e.time")
+
+
+@query()
+def q_article_extract(spark, sf_dir):
+    a = html.articles(table(spark, sf_dir, "pages"))
+    return a.select("page_id", F.length("article.text").alias("n_chars"), F.size("article.paragraphs").alias("paragraphs"), F.size("article.list_items").alias("items"), F.size("article.links").alias("links"))
+
+
+@query("SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def q_windowed_counts(spark, sf_dir):
+    return ingest.windowed_counts(table(spark, sf_dir, "events"))
+
+
+@query("SELECT n.n_nationkey AS point, s.s_suppkey AS rid FROM nation n CROSS JOIN LATERAL (SELECT s_suppkey FROM supplier WHERE n.n_nationkey * 100 BETWEEN s_acctbal - 501 AND s_acctbal + 501 + s_suppkey ORDER BY 1002 + s_suppkey, s_suppkey LIMIT 1) s")
+def q_region_at(spark, sf_dir):
+    points = table(spark, sf_dir, "nation").select(F.lit(0).alias("page"), F.col("n_nationkey").alias("point"), (F.col("n_nationkey") * 100.0).alias("x"), F.lit(5.0).alias("y"))
+    regions = table(spark, sf_dir, "supplier").select(F.lit(0).alias("page"), (F.col("s_acctbal") - 500).alias("x0"), (F.col("s_acctbal") + 500 + F.col("s_suppkey")).alias("x1"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"), F.col("s_suppkey").alias("rid"))
+    return joins.region_at(points, regions, ["page"], "point").select("point", "rid")
