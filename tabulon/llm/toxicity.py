@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from .kernel import buffers, slices, words
 
 SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.008, 0.10, 5, 8, 2, 0.3
 SEEDS, SEED_RATIO, RESTART, ROUNDS, LEXICON = 10, 3.5, 0.3, 40, 5.0
-BINS, PRECISION = 4000, 0.95
+BINS, PRECISION, RANGES = 4000, 0.95, 512
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -49,7 +48,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, at = buffers(b.column("text"))
             names, lang = np.unique(np.array(b.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
-            for i, j in slices(at, 1 << 21):
+            for i, j in slices(at):
                 h, row, _, _ = words(data, at[i : j + 1])
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
@@ -68,10 +67,11 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 
 
 class Nodes:
-    """Sorted hashes of the graph's words; a word's number is its place."""
+    """Sorted hashes of the graph's words; a word's number is its place, its home the number of the language that has it in most documents."""
 
-    def __init__(self, h: np.ndarray):
-        self.h = np.sort(h)
+    def __init__(self, h: np.ndarray, home: np.ndarray | None = None):
+        order = np.argsort(h, kind="stable")
+        self.h, self.home = h[order], np.zeros(len(h), np.int64) if home is None else home[order]
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """-1 for other words."""
@@ -81,11 +81,20 @@ class Nodes:
         return np.where(self.h[i] == h, i, -1)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x.astype("<u4")), codec="zstd", asbytes=True)
+
+
+def _unpack(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4")
+
+
 def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
-    """(a, b, n): how often two nodes, a < b by number, stand within WINDOW words of each other."""
-    told, v = docs.sparkSession.sparkContext.broadcast(nodes), len(nodes.h)
+    """(a, b, n): how often two nodes of one home, a < b by number, stand within WINDOW words of each other, if LEAST_PAIRS times at least; and (a, -1, n): all such pairs of node a. Pairs are numbered, and each task sends each of RANGES ranges of numbers as compressed differences and counts; a range is summed up in an array of fixed size."""
+    told, v = docs.sparkSession.sparkContext.broadcast(nodes), max(1, len(nodes.h))
+    width = v * v // RANGES + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -95,26 +104,56 @@ def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
 
         for b in batches:
             data, at = buffers(b.column("text"))
-            for i, j in slices(at, 1 << 21):
+            for i, j in slices(at):
                 h, row, _, _ = words(data, at[i : j + 1])
                 number = told.value.number(h)
                 pos = np.flatnonzero(number >= 0)
-                number, row = number[pos], row[pos]
+                number, row, found = number[pos], row[pos], []
+                home = told.value.home[number]
                 for step in range(1, WINDOW + 1):
-                    near = (pos[step:] - pos[:-step] <= WINDOW) & (row[step:] == row[:-step]) & (number[step:] != number[:-step])
-                    if not near.any():
+                    close = (pos[step:] - pos[:-step] <= WINDOW) & (row[step:] == row[:-step])
+                    if not close.any():
                         break
+                    near = close & (number[step:] != number[:-step]) & (home[step:] == home[:-step])
                     x, y = number[step:][near], number[:-step][near]
-                    held.append(np.unique(np.minimum(x, y) * v + np.maximum(x, y), return_counts=True))
+                    found.append(np.minimum(x, y) * v + np.maximum(x, y))
+                if found:
+                    held.append(np.unique(np.concatenate(found), return_counts=True))
                     size += len(held[-1][0])
-                if size > 6_000_000:
+                if size > 3_000_000:
                     held = [merged()]
-                    size = 0
-        if held:
-            code, n = merged()
-            yield pa.record_batch([pa.array((code // v).astype(np.int32)), pa.array((code % v).astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "b", "n"])
-
-    return docs.select("text").mapInArrow(run, "a int, b int, n int").groupBy("a", "b").agg(F.sum("n").alias("n"))
+                    size = len(held[0][0]) // 4
+        if not held:
+            return
+        code, n = merged()
+        cuts = np.searchsorted(code // width, np.arange(RANGES + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        rows = [(int(r), int(cuts[r + 1] - cuts[r]), _pack(np.diff(code[cuts[r] : cuts[r + 1]], prepend=r * width)), _pack(n[cuts[r] : cuts[r + 1]])) for r in some]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["r", "size", "codes", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = -1, np.zeros(width, np.int64)
+
+        def out() -> pa.RecordBatch:
+            k = np.flatnonzero(total)
+            a, b = (k + now * width) // v, (k + now * width) % v
+            degree = np.bincount(np.concatenate([a, b]), np.concatenate([total[k]] * 2), v)
+            ends, often = np.flatnonzero(degree), total[k] >= LEAST_PAIRS
+            cols = (np.concatenate([a[often], ends]), np.concatenate([b[often], np.full(len(ends), -1)]), np.concatenate([total[k][often], degree[ends].astype(np.int64)]))
+            total[:] = 0
+            return pa.record_batch([pa.array(c.astype(t)) for c, t in zip(cols, (np.int32, np.int32, np.int64))], ["a", "b", "n"])
+
+        for batch in batches:
+            for r, size, codes, counts in zip(*(batch.column(c).to_pylist() for c in ("r", "size", "codes", "counts"))):
+                if r != now and now >= 0:
+                    yield out()
+                now = r
+                total[np.cumsum(_unpack(codes, size), dtype=np.int64)] += _unpack(counts, size)
+        if now >= 0:
+            yield out()
+
+    sent = docs.select("text").mapInArrow(count, "r int, size int, codes binary, counts binary")
+    return sent.repartition("r").sortWithinPartitions("r").mapInArrow(add, "a int, b int, n bigint")
 
 
 def bags(docs: DataFrame, nodes: Nodes) -> DataFrame:
@@ -124,7 +163,7 @@ def bags(docs: DataFrame, nodes: Nodes) -> DataFrame:
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         data, at = buffers(b.column("text"))
         total, size, ids = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64), [np.zeros(0, np.int64)]
-        for i, j in slices(at, 1 << 21):
+        for i, j in slices(at):
             h, row, _, _ = words(data, at[i : j + 1])
             number = told.value.number(h)
             total[i:j] = np.bincount(row, minlength=j - i)
@@ -144,7 +183,7 @@ def spellings(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             data, at = buffers(b.column("text"))
-            for i, j in slices(at, 1 << 21):
+            for i, j in slices(at):
                 h, _, start, end = words(data, at[i : j + 1])
                 hit = np.flatnonzero(told.value.number(h) >= 0)
                 own, where = np.unique(h[hit], return_index=True)
@@ -167,16 +206,21 @@ def seed_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return np.where(toxic / max(1, n_toxic) >= clean / max(1, n_clean), 1, -1) * np.sqrt(np.maximum(g, 0))
 
 
-def ppmi(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, w): pairs (a, b, n) of nodes (k, lang) of one language, with their discounted pointwise mutual information, if it is LEAST_INFORMATION or more (so that chance pairs, whose information goes to 0 as counts grow, don't reach the driver) and n is LEAST_PAIRS or more."""
-    inside = pairs.join(nodes.select(F.col("k").alias("a"), "lang"), "a").join(nodes.select(F.col("k").alias("b"), F.col("lang").alias("other")), "b").filter("lang = other").select("a", "b", "n", "lang")
-    ends = inside.select(F.explode(F.array("a", "b")).alias("k"), "n", "lang")
-    degree = ends.groupBy("k", "lang").agg(F.sum("n").alias("d"))
-    total = degree.groupBy("lang").agg(F.sum("d").alias("total"))
-    told = inside.join(degree.select(F.col("k").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("k").alias("b"), F.col("d").alias("db")), "b").join(total, "lang")
-    low = F.least("da", "db")
-    value = F.log(F.col("n") * F.col("total") / (F.col("da").cast("double") * F.col("db")))
-    return told.filter((value >= LEAST_INFORMATION) & (F.col("n") >= LEAST_PAIRS)).select("a", "b", (value * (F.col("n") / (F.col("n") + 1)) * (low / (low + 1))).alias("w"))
+def ppmi(pairs: DataFrame, nodes: Nodes) -> DataFrame:
+    """(a, b, w) of pair_counts: discounted pointwise mutual information in their language, where it is LEAST_INFORMATION or more: that of chance pairs goes to 0 as counts grow, so they don't reach the driver."""
+    degree = np.zeros(len(nodes.h))
+    for r in pairs.filter("b < 0").groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():
+        degree[r["a"]] = r["n"]
+    told = pairs.sparkSession.sparkContext.broadcast((degree, np.bincount(nodes.home, degree) if len(degree) else degree, nodes.home))
+
+    def f(x: pa.RecordBatch) -> pa.RecordBatch:
+        degree, total, home = told.value
+        a, b, n = (x.column(c).to_numpy() for c in ("a", "b", "n"))
+        value = np.log(n * total[home[a]] / (degree[a] * degree[b]))
+        low, good = np.minimum(degree[a], degree[b]), value >= LEAST_INFORMATION
+        return pa.record_batch([pa.array(a[good]), pa.array(b[good]), pa.array((value * (n / (n + 1)) * (low / (low + 1)))[good])], ["a", "b", "w"])
+
+    return map_batches(pairs.filter("b >= 0"), f, "a int, b int, w double")
 
 
 def walk(a: np.ndarray, b: np.ndarray, w: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
@@ -225,16 +269,16 @@ def induce(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, N
     known = document_frequency(own).join(totals, "lang").filter((F.col("n") >= low) & (F.col("n") <= F.greatest(low, COMMON * F.col("total"))))
     table = known.groupBy("h").agg(F.max(F.struct("n", "lang")).alias("top")).select("h", "top.lang").toPandas()
     hashes = table["h"].to_numpy(np.int64).view(np.uint64)
-    nodes = Nodes(hashes)
-    home = table["lang"].to_numpy(dtype=object)[np.argsort(hashes, kind="stable")]
+    names, number = np.unique(table["lang"].to_numpy(dtype=object).astype(str), return_inverse=True)
+    nodes = Nodes(hashes, number.astype(np.int64))
+    home = names[nodes.home] if len(names) else np.zeros(0, object)
     size = len(nodes.h)
     held = stored(bags(own, nodes), "bags")
     marked = held.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL"), "doc_id")
     t = (F.col("toxic") > 0).alias("t")
     numbers = {(r["t"], r["lang"]): r["n"] for r in marked.groupBy(t, "lang").agg(F.count("*").alias("n")).collect()}
     by = marked.select(t, "lang", F.explode(F.array_distinct("ids")).alias("k")).groupBy("t", "lang", "k").agg(F.count("*").alias("n")).toPandas()
-    numbered = docs.sparkSession.createDataFrame(pd.DataFrame({"k": np.arange(size, dtype=np.int32), "lang": home.astype(str)}), "k int, lang string")
-    edges = ppmi(stored(pair_counts(own, nodes), "pairs"), numbered).toArrow()
+    edges = ppmi(stored(pair_counts(own, nodes), "pairs"), nodes).toArrow()
     a, b, w = (edges[c].to_numpy() for c in ("a", "b", "w"))
     weight = np.zeros(size)
     for lang in sorted(set(home.tolist())):

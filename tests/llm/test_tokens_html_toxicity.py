@@ -142,16 +142,20 @@ def test_edges_against_brute_force(spark, toxic):
                 if u in number and v in number and u != v:
                     p = tuple(sorted((number[u], number[v])))
                     want[p] = want.get(p, 0) + 1
-    pairs = X.pair_counts(id_text(docs), nodes)
-    got = {(r.a, r.b): r.n for r in pairs.collect()}
-    assert set(got) <= set(want) and sum(got.values()) >= 0.5 * sum(want.values())
-    assert all(got[p] <= want[p] for p in got)
-    if got == want:
-        degree = {}
-        for (a, b), n in got.items():
-            degree[a], degree[b] = degree.get(a, 0) + n, degree.get(b, 0) + n
-        total = sum(degree.values())
-        table = spark.createDataFrame([(k, "x") for k in range(len(nodes.h))], "k int, lang string")
-        for r in X.ppmi(pairs, table).collect():
-            n, low = got[r.a, r.b], min(degree[r.a], degree[r.b])
-            assert math.isclose(r.w, math.log(n * total / degree[r.a] / degree[r.b]) * n / (n + 1) * low / (low + 1), rel_tol=1e-9)
+    degree = np.zeros(len(nodes.h))
+    for (a, b), n in want.items():
+        degree[a] += n
+        degree[b] += n
+    pairs = X.pair_counts(id_text(docs), nodes).cache()
+    got = {(r.a, r.b): r.n for r in pairs.collect() if r.b >= 0}
+    assert got == {p: n for p, n in want.items() if n >= X.LEAST_PAIRS}
+    ends = np.zeros(len(nodes.h))
+    for r in pairs.collect():
+        ends[r.a] += r.n if r.b < 0 else 0
+    assert np.array_equal(ends, degree)
+    edges = {(r.a, r.b): r.w for r in X.ppmi(pairs, nodes).collect()}
+    for (a, b), n in got.items():
+        value, low = math.log(n * degree.sum() / degree[a] / degree[b]), min(degree[a], degree[b])
+        assert ((a, b) in edges) == (value >= X.LEAST_INFORMATION)
+        if (a, b) in edges:
+            assert math.isclose(edges[a, b], value * n / (n + 1) * low / (low + 1), rel_tol=1e-9)
