@@ -51,7 +51,7 @@ def period(c: Column) -> Column:
 def parse_time(c: Column) -> Column:
     """Hours with two digits and minutes; seconds go, NULL stays."""
     part = F.split(or_null(c), ":")
-    return F.concat_ws(":", F.lpad(F.get(part, F.lit(0)), F.greatest(F.length(F.get(part, F.lit(0))), F.lit(2)), "0"), F.get(part, F.lit(1)))
+    return F.concat(F.lpad(F.get(part, F.lit(0)), F.greatest(F.length(F.get(part, F.lit(0))), F.lit(2)), "0"), F.lit(":"), F.get(part, F.lit(1)))
 
 
 def _span(c: Column) -> Column:

@@ -70,7 +70,7 @@ def edited(found: DataFrame, applied: DataFrame) -> DataFrame:
 
 def file_scan(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, text) of text files, by name."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("path"), F.sha2("value", 256).alias("sha256"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("path"), F.sha2("value", 256).alias("sha256"), F.col("value").alias("text"))
     return rows.orderBy("path")
 
 
