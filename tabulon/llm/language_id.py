@@ -151,8 +151,11 @@ def _shuffled(text: str) -> str:
 
 def train(by_language: dict[str, list[str]]) -> Model:
     """A model from each language's texts; every third text, in the order given, calibrates the limits."""
+    by_language = {k: v for k, v in by_language.items() if any(t.strip() for i, t in enumerate(v) if i % 3 != 2)}
     languages = sorted(by_language)
     model = Model(languages)
+    if not languages:
+        return model
     fit = {k: [t for i, t in enumerate(v) if i % 3 != 2] for k, v in by_language.items()}
     counts: list[list] = []  # by language, by order: keys, counts or continuation counts, context and suffix hashes
     for k in languages:
