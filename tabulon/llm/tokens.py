@@ -55,7 +55,9 @@ def _classes() -> np.ndarray:
     import regex
 
     table = np.zeros(sys.maxunicode + 1, np.uint8)
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(sys.maxunicode + 1))
+    points = np.arange(sys.maxunicode + 1, dtype="<u4")
+    points[0xD800:0xE000] = 33
+    every = points.tobytes().decode("utf-32-le")
     for k, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
         for m in regex.finditer(pattern, every):
             table[m.start() : m.end()] = k
@@ -219,8 +221,8 @@ def _counts(table: Table, column: pa.Array) -> tuple[np.ndarray, list[np.ndarray
     return total, found
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, broadcast: int = BROADCAST) -> DataFrame:
-    """(doc_id, text, ids) of each row of docs."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, broadcast: int = BROADCAST, digest: bool = False) -> DataFrame:
+    """(doc_id, text, ids) of each row of docs; with digest, the text's MD5 in place of the text, so that texts don't go back through Arrow."""
     spark = ready(docs.sparkSession)
     table = word_table(docs, vocabulary)
     n, size = table.agg(F.count("*"), F.sum(F.length("ids"))).first()
@@ -235,10 +237,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, broadcast: int = BROAD
             ids = t.ids[np.repeat(t.at[where].astype(np.int64) - (np.cumsum(number) - number), number) + np.arange(number.sum())]
             offsets = np.concatenate([[0], np.cumsum(total)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=column.is_null() if column.null_count else None)
-            return pa.record_batch([b.column("doc_id"), column, lists], ["doc_id", "text", "ids"])
+            return pa.record_batch([b.column("doc_id"), b.column("digest") if digest else column, lists], ["doc_id", "digest" if digest else "text", "ids"])
 
-        return map_batches(id_text(docs), f, "doc_id bigint, text string, ids array<int>", 4 << 20)
-    return encode_by_join(docs, table)
+        own = id_text(docs)
+        return map_batches(own.withColumn("digest", F.md5("text")) if digest else own, f, f"doc_id bigint, {'digest' if digest else 'text'} string, ids array<int>", 4 << 20)
+    joined = encode_by_join(docs, table)
+    return joined.select("doc_id", F.md5("text").alias("digest"), "ids") if digest else joined
 
 
 def encode_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -282,8 +286,8 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids, and whether they decode to its text."""
-    both = decode(encode(documents(spark, sf_dir)))
-    return both.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+    both = decode(encode(documents(spark, sf_dir), digest=True))
+    return both.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.md5("decoded").eqNullSafe(F.col("digest")).alias("exact"))
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY, broadcast: int = BROADCAST) -> DataFrame:

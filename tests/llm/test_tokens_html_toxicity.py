@@ -29,6 +29,8 @@ def test_split_is_the_pattern():
 @pytest.mark.parametrize("broadcast", [K.BROADCAST, 0])
 def test_encode_and_decode_round_trip(docs, corpus, broadcast):
     e = K.encoder(K.VOCABULARY)
+    marked = K.decode(K.encode(docs, broadcast=broadcast, digest=True))
+    assert marked.filter("NOT md5(decoded) <=> digest").count() == 0
     out = K.decode(K.encode(docs, broadcast=broadcast)).collect()
     assert len(out) == len(corpus)
     key = lambda x: (str(x[0]), str(x[1]))
