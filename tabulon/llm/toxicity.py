@@ -28,7 +28,7 @@ from .kernel import buffers, slices, words
 
 SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.008, 0.10, 5, 8, 2, 0.3
 SEEDS, SEED_RATIO, RESTART, ROUNDS, LEXICON = 10, 3.5, 0.3, 40, 5.0
-BINS, PRECISION, RANGES = 4000, 0.95, 512
+BINS, PRECISION, RANGES, SIGNIFICANCE = 4000, 0.95, 512, 3.0
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def seed_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
 
 
 def ppmi(pairs: DataFrame, nodes: Nodes) -> DataFrame:
-    """(a, b, w) of pair_counts: discounted pointwise mutual information in their language, where it is LEAST_INFORMATION or more: that of chance pairs goes to 0 as counts grow, so they don't reach the driver."""
+    """(a, b, w) of pair_counts: discounted pointwise mutual information in their language, where it is LEAST_INFORMATION or more and the count lies SIGNIFICANCE standard deviations above that of chance: other pairs are noise and don't reach the driver."""
     degree = np.zeros(len(nodes.h))
     for r in pairs.filter("b < 0").groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():
         degree[r["a"]] = r["n"]
@@ -216,8 +216,9 @@ def ppmi(pairs: DataFrame, nodes: Nodes) -> DataFrame:
     def f(x: pa.RecordBatch) -> pa.RecordBatch:
         degree, total, home = told.value
         a, b, n = (x.column(c).to_numpy() for c in ("a", "b", "n"))
-        value = np.log(n * total[home[a]] / (degree[a] * degree[b]))
-        low, good = np.minimum(degree[a], degree[b]), value >= LEAST_INFORMATION
+        chance = degree[a] * degree[b] / total[home[a]]
+        value = np.log(n / chance)
+        low, good = np.minimum(degree[a], degree[b]), (value >= LEAST_INFORMATION) & (n - chance >= SIGNIFICANCE * np.sqrt(chance))
         return pa.record_batch([pa.array(a[good]), pa.array(b[good]), pa.array((value * (n / (n + 1)) * (low / (low + 1)))[good])], ["a", "b", "w"])
 
     return map_batches(pairs.filter("b >= 0"), f, "a int, b int, w double")
@@ -245,8 +246,9 @@ def polarity(a: np.ndarray, b: np.ndarray, w: np.ndarray, ratio: np.ndarray) ->
         return np.zeros(size)
     x, y = walk(a, b, w, toxic, size), walk(a, b, w, clean, size)
     log = np.log((x + 0.1 / size) / (y + 0.1 / size))
-    middle = np.median(log)
-    spread = max(0.05, 1.4826 * float(np.median(np.abs(log - middle))))
+    reached = log[x + y > 0]  # words without edges would make the spread too small
+    middle = np.median(reached)
+    spread = max(0.25, 1.4826 * float(np.median(np.abs(reached - middle))))
     weight = (log - middle) / spread
     return np.where((weight > LEXICON) & (ratio > 0), np.minimum(weight, 20.0), 0.0)
 
