@@ -54,7 +54,7 @@ def entry_room(raw: Column, room: Column, rooms: Column) -> Column:
 
 _LEVELS = "|".join(("MAS", "OAS", "МАС", "ОАС"))
 _DAYS = "|".join("ponedeljak utorak sreda cetvrtak četvrtak petak subota nedelja nedjelja понедељак уторак среда четвртак петак субота недеља".split())
-EXAM = f"(?iu)^(?:[0-9]+\\s+)?({_LEVELS})\\s+([0-9]{{4}})" + "\\s+(\\S+)" * 3 + f"\\s+(.+?)\\s+((?:{_DAYS}),\\s*[0-9]{{1,2}}\\.\\s*\\S+\\s*[0-9]{{4}}\\.)\\s*([0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?)?\\s*$"
+EXAM = f"(?iu)^(?:[0-9]+\\s+)?({_LEVELS})\\s+([0-9]{{4}})" + "\\s+(\\S+)" * 3 + f"\\s+(.+?)\\s+((?:{_DAYS}),\\s*[0-9]{{1,2}}[.] *\\S+ *[0-9]{{4}}[.])\\s*([0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?)?\\s*$"
 
 
 def exam_row(line: Column) -> Column:

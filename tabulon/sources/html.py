@@ -135,7 +135,8 @@ def scope(root: Element) -> Element:
     return root
 
 
-_STAMP = re.compile(r"(?:(?:pon|uto|sre|cet|pet|sub|ned),?\s+)?[0-9]{1,2}[.]\s+\S+\s+20[0-9]{2}[.]?\s+(?:u\s+)?[0-9]{1,2}:[0-9]{2}")
+_DAY = "|".join(sorted(["ned", "pon", "uto", "sre", "cet", "pet", "sub"]))
+_STAMP = re.compile(rf"(?:(?:{_DAY}),?\s+)?[0-9]{{1,2}}[.]\s+\S+\s+20[0-9]{{2}}[.]?\s+(?:u\s+)?[0-9]{{1,2}}:[0-9]{{2}}")
 
 
 def is_stamp(s: str) -> bool:

@@ -49,7 +49,8 @@ def file_name(level: str, semester: str, module: str, submodule: str, year: str)
 def parse_pdf_name(url):
     """(semester, module, submodule) from the name of a timetable's PDF; NULL for other names."""
     name = F.regexp_extract(url, r"([^/?#]+)(?:[?#].*)?$", 1)
-    pattern = r"(?i)^[0-9]+-(?:mas|sem)([0-9]+)((?:-[a-z0-9]+)*?)(?:-v[0-9]+)?[.]pdf$"
+    word, version = "-[0-9a-z]+", "-v[0-9]+"
+    pattern = f"(?i)^[0-9]+-(?:mas|sem)([0-9]+)((?:{word})*?)(?:{version})?[.]pdf$"
     part = F.filter(F.split(F.regexp_extract(name, pattern, 2), "-"), lambda x: x != "")
     return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).cast("int").alias("semester"), F.upper(F.get(part, F.lit(0))).alias("module"), F.upper(F.get(part, F.lit(1))).alias("submodule")))
 

@@ -166,7 +166,8 @@ def test_listings_stop(spark):
 
 
 def test_sources(spark, tmp_path):
-    doc = {"academicYear": "2025/2026", "groupRooms": {"lectures": {"А": "1"}}, "schedule": [{"day": "petak", "course": "X", "roomsByGroup": {"А1": "2"}}, {"day": "sreda"}]}
+    rooms = {"А": "1"}
+    doc = {"groupRooms": {"lectures": rooms}, "academicYear": "2025/2026", "schedule": [{"day": "petak", "course": "X", "roomsByGroup": {"А1": "2"}}, {"day": "sreda"}]}
     (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
     t = schemas.read_json(spark, str(tmp_path), schemas.TIMETABLE)
     assert [(r.file, r.ord, r.day, r.roomsByGroup) for r in schemas.entries(t).orderBy("ord").collect()] == [("a.json", 0, "petak", {"А1": "2"}), ("a.json", 1, "sreda", None)]
