@@ -276,7 +276,8 @@ def induce(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, N
     home = names[nodes.home] if len(names) else np.zeros(0, object)
     size = len(nodes.h)
     held = stored(bags(own, nodes), "bags")
-    marked = held.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL"), "doc_id")
+    own_labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL")
+    marked = stored(held.hint("merge").join(own_labels.hint("merge"), "doc_id"), "marked")  # labels grow with the documents: never broadcast
     t = (F.col("toxic") > 0).alias("t")
     numbers = {(r["t"], r["lang"]): r["n"] for r in marked.groupBy(t, "lang").agg(F.count("*").alias("n")).collect()}
     by = marked.select(t, "lang", F.explode(F.array_distinct("ids")).alias("k")).groupBy("t", "lang", "k").agg(F.count("*").alias("n")).toPandas()
