@@ -3,7 +3,7 @@
 Over all documents of a language, words in SUPPORT..COMMON of them are the graph's nodes (so their number is bounded
 by the length of documents, not by their count). Edges are positive pointwise mutual information of two nodes within
 WINDOW words, discounted for small counts. Labelled documents give seed terms, by likelihood ratio: the SEEDS
-strongest of toxic documents, and all that are more frequent in clean ones. Random walks with restart from either
+strongest of toxic documents, by that ratio, and all that are more frequent in clean ones. Random walks with restart from either
 set spread polarity over the graph; a word's weight is the standardised log ratio of the two, 0 for seeds of clean documents. A document's score is
 the sum of its words' weights above LEXICON, over the square root of its words; the threshold is calibrated on the
 scores of all labelled documents.
@@ -16,7 +16,7 @@ rows are flagged each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from .kernel import buffers, slices, words
 
 SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.008, 0.10, 5, 8, 2, 0.3
 SEEDS, SEED_RATIO, RESTART, ROUNDS, LEXICON = 10, 3.5, 0.3, 40, 5.0
-BINS, PRECISION, RANGES, SIGNIFICANCE = 4000, 0.95, 512, 3.0
+#: SIGNIFICANCE 0: no pair of positive information is left out for being within what chance may give.
+BINS, PRECISION, RANGES, SIGNIFICANCE, BLOCK = 4000, 0.95, 512, 0.0, 1 << 18
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def seed_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
 
 
 def ppmi(pairs: DataFrame, nodes: Nodes) -> DataFrame:
-    """(a, b, w) of pair_counts: discounted pointwise mutual information in their language, where it is LEAST_INFORMATION or more and the count lies SIGNIFICANCE standard deviations above that of chance: other pairs are noise and don't reach the driver."""
+    """(a, b, w) of pair_counts: discounted pointwise mutual information in their language, where it is LEAST_INFORMATION or more and the count lies SIGNIFICANCE standard deviations above that of chance."""
     degree = np.zeros(len(nodes.h))
     for r in pairs.filter("b < 0").groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():
         degree[r["a"]] = r["n"]
@@ -224,31 +225,105 @@ def ppmi(pairs: DataFrame, nodes: Nodes) -> DataFrame:
     return map_batches(pairs.filter("b >= 0"), f, "a int, b int, w double")
 
 
-def walk(a: np.ndarray, b: np.ndarray, w: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
-    """Visiting probabilities of a random walk over undirected edges that returns to the seeds with probability RESTART."""
-    out = np.bincount(a, w, size) + np.bincount(b, w, size)
-    start = np.zeros(size)
-    start[seeds] = 1 / max(1, len(seeds))
+def packed(edges: DataFrame, nodes: Nodes) -> DataFrame:
+    """(home, size, a, b, w): edges of one language, about BLOCK in a row, as compressed arrays; w in single precision."""
+    told = edges.sparkSession.sparkContext.broadcast(nodes.home)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b, w = (np.concatenate(x) for x in zip(*held))
+            home = told.value[a]
+            rows = [(int(k), int(own.sum()), _pack(a[own]), _pack(b[own]), _pack(w[own].astype("<f4").view("<u4"))) for k in np.unique(home) for own in [home == k]]
+            held.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["home", "size", "a", "b", "w"])
+
+        size = 0
+        for x in batches:
+            if x.num_rows:
+                held.append([x.column(c).to_numpy() for c in ("a", "b", "w")])
+                size += x.num_rows
+            if size >= BLOCK:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    return edges.mapInArrow(run, "home int, size int, a binary, b binary, w binary")
+
+
+def walk(blocks: Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], start: np.ndarray) -> np.ndarray:
+    """Visiting probabilities of random walks, one for each row of start, over the undirected edges that blocks() gives in parts; each returns to its start with probability RESTART."""
+    size = start.shape[1]
+    out = np.zeros(size)
+    for a, b, w in blocks():
+        out += np.bincount(a, w, size) + np.bincount(b, w, size)
     p = start
     for _ in range(ROUNDS):
-        q = np.where(out > 0, p / np.maximum(out, 1e-300), 0)
-        p = (1 - RESTART) * (np.bincount(a, w * q[b], size) + np.bincount(b, w * q[a], size)) + RESTART * start
+        q, moved = np.where(out > 0, p / np.maximum(out, 1e-300), 0), np.zeros(start.shape)
+        for a, b, w in blocks():
+            for k in range(len(start)):
+                moved[k] += np.bincount(a, w * q[k][b], size) + np.bincount(b, w * q[k][a], size)
+        p = (1 - RESTART) * moved + RESTART * start
     return p
 
 
-def polarity(a: np.ndarray, b: np.ndarray, w: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Weight of each word, from weighted edges and the words' seed ratios: 0 for all without seeds."""
-    size = len(ratio)
-    order = np.argsort(-ratio, kind="stable")
+def walks(edges: DataFrame, nodes: Nodes, start: np.ndarray) -> np.ndarray:
+    """The walks of every language from start (a row for each walk, a column for each node), each language's in one task that holds its edges compressed; only a number for each node and walk reaches the driver."""
+    told = edges.sparkSession.sparkContext.broadcast((nodes.home, start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, bytes, bytes]] = []
+
+        def out(now: int) -> pa.RecordBatch:
+            own = np.flatnonzero(told.value[0] == now)
+            place = np.zeros(len(told.value[0]), np.int64)
+            place[own] = np.arange(len(own))
+
+            def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for n, a, b, w in held:
+                    yield place[_unpack(a, n)], place[_unpack(b, n)], _unpack(w, n).view("<f4").astype(np.float64)
+
+            p = walk(blocks, told.value[1][:, own])
+            held.clear()
+            return pa.record_batch([pa.array(own.astype(np.int32)), *map(pa.array, p)], ["k", "x", "y"])
+
+        now = -1
+        for x in batches:
+            for home, *block in zip(*(x.column(c).to_pylist() for c in ("home", "size", "a", "b", "w"))):
+                if home != now and now >= 0:
+                    yield out(now)
+                now = home
+                held.append(tuple(block))
+        if now >= 0:
+            yield out(now)
+
+    homes = int(nodes.home.max(initial=0)) + 1
+    result = start * RESTART  # where there are no edges
+    for r in packed(edges, nodes).repartition(homes, "home").sortWithinPartitions("home").mapInArrow(run, "k int, x double, y double").toArrow().to_batches():
+        result[:, r.column("k").to_numpy()] = r.column("x").to_numpy(), r.column("y").to_numpy()
+    return result
+
+
+def seeds(ratio: np.ndarray) -> np.ndarray:
+    """Where walks start, from words' seed ratios: at the seeds of toxic documents, by their likelihood ratios (so that one by chance counts little), and at those of clean ones alike; nowhere if either are missing."""
+    order, start = np.argsort(-ratio, kind="stable"), np.zeros((2, len(ratio)))
     toxic = order[:SEEDS][ratio[order[:SEEDS]] >= SEED_RATIO]
     clean = np.flatnonzero(ratio < 0)
-    if not len(toxic) or not len(clean) or not len(a):
+    if len(toxic) and len(clean):
+        start[0, toxic], start[1, clean] = ratio[toxic] ** 2 / (ratio[toxic] ** 2).sum(), 1 / len(clean)
+    return start
+
+
+def polarity(x: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Weight of each word of a language, from the walks of toxic and clean seeds and the words' seed ratios: 0 for all without walks."""
+    size, reached = len(ratio), x + y > 0  # words without edges would make the spread too small
+    if not x.any() or not y.any():
         return np.zeros(size)
-    x, y = walk(a, b, w, toxic, size), walk(a, b, w, clean, size)
     log = np.log((x + 0.1 / size) / (y + 0.1 / size))
-    reached = log[x + y > 0]  # words without edges would make the spread too small
-    middle = np.median(reached)
-    spread = max(0.25, 1.4826 * float(np.median(np.abs(reached - middle))))
+    middle = np.median(log[reached])
+    spread = max(0.05, 1.4826 * float(np.median(np.abs(log[reached] - middle))))
     weight = (log - middle) / spread
     return np.where((weight > LEXICON) & (ratio > 0), np.minimum(weight, 20.0), 0.0)
 
@@ -281,19 +356,20 @@ def induce(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, N
     t = (F.col("toxic") > 0).alias("t")
     numbers = {(r["t"], r["lang"]): r["n"] for r in marked.groupBy(t, "lang").agg(F.count("*").alias("n")).collect()}
     by = marked.select(t, "lang", F.explode(F.array_distinct("ids")).alias("k")).groupBy("t", "lang", "k").agg(F.count("*").alias("n")).toPandas()
-    edges = ppmi(stored(pair_counts(own, nodes), "pairs"), nodes).toArrow()
-    a, b, w = (edges[c].to_numpy() for c in ("a", "b", "w"))
-    weight = np.zeros(size)
+    ratio, start = np.zeros(size), np.zeros((2, size))
     for lang in sorted(set(home.tolist())):
         own_nodes = np.flatnonzero(home == lang)
-        place = np.full(size, -1)
-        place[own_nodes] = np.arange(len(own_nodes))
-        inside = place[a] >= 0
         part = by[by["lang"] == lang]
         counts = [np.bincount(p["k"], p["n"], size)[own_nodes] if len(p := part[part["t"] == x]) else np.zeros(len(own_nodes)) for x in (True, False)]
         if numbers.get((True, lang)):
-            ratio = seed_ratio(*counts, numbers[True, lang], numbers.get((False, lang), 0))
-            weight[own_nodes] = polarity(place[a[inside]], place[b[inside]], w[inside], ratio)
+            ratio[own_nodes] = seed_ratio(*counts, numbers[True, lang], numbers.get((False, lang), 0))
+            start[:, own_nodes] = seeds(ratio[own_nodes])
+    weight = np.zeros(size)
+    if start.any():
+        x, y = walks(ppmi(stored(pair_counts(own, nodes), "pairs"), nodes), nodes, start)
+        for lang in sorted(set(home.tolist())):
+            own_nodes = np.flatnonzero(home == lang)
+            weight[own_nodes] = polarity(x[own_nodes], y[own_nodes], ratio[own_nodes])
     spread = scored(marked, weight, "t boolean", lambda b: [pa.array(np.asarray(b.column("toxic")) > 0)], ["t"]).filter("score > 0")
     top = spread.agg(F.max("score")).first()[0]
     if not top:

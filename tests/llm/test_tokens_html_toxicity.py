@@ -163,3 +163,32 @@ def test_edges_against_brute_force(spark, toxic):
         assert ((a, b) in edges) == (value >= X.LEAST_INFORMATION and n - chance >= X.SIGNIFICANCE * chance**0.5)
         if (a, b) in edges:
             assert math.isclose(edges[a, b], value * n / (n + 1) * low / (low + 1), rel_tol=1e-9)
+
+
+def test_lexicon_has_no_false_words(toxic):
+    docs, labels, bad = toxic
+    words = {r.word for r in X.lexicon(docs, labels).collect()}
+    assert set(bad) <= words and len(words) <= 12
+
+
+def test_pairs_near_chance_are_edges(spark):
+    """n = 2 where chance gives 1: positive information, though within a standard deviation of chance."""
+    nodes = X.Nodes(np.arange(4, dtype=np.uint64))
+    pairs = spark.createDataFrame([(0, 1, 2), (2, 3, 12), (0, -1, 4), (1, -1, 8), (2, -1, 10), (3, -1, 10)], "a int, b int, n bigint")
+    assert {(r.a, r.b) for r in X.ppmi(pairs, nodes).collect()} == {(0, 1), (2, 3)}
+
+
+def test_walks_in_parts_against_matrix(spark):
+    """Two languages, edges in parts, against powers of a dense matrix."""
+    r = np.random.default_rng(3)
+    nodes = X.Nodes(np.arange(30, dtype=np.uint64), np.arange(30) % 2)
+    rows = [(a, b, float(r.random())) for a in range(30) for b in range(a + 1, 30) if (a - b) % 2 == 0 and r.random() < 0.4]
+    start = r.random((2, 30))
+    m = np.zeros((30, 30))
+    for a, b, w in rows:
+        m[a, b] = m[b, a] = w
+    m /= m.sum(axis=0)
+    want = start.T
+    for _ in range(X.ROUNDS):
+        want = (1 - X.RESTART) * m @ want + X.RESTART * start.T
+    assert np.allclose(X.walks(spark.createDataFrame(rows, "a int, b int, w double").repartition(3), nodes, start), want.T, rtol=1e-5)
