@@ -1,7 +1,7 @@
 """Toxicity by lexicon induction over word graphs, one for each language of the lang column.
 
-Over all documents of a language, words in SUPPORT..COMMON of them are the graph's nodes (so their number is bounded
-by the length of documents, not by their count). Edges are positive pointwise mutual information of two nodes within
+Over all documents of a language, words in SUPPORT..COMMON of them are the graph's nodes, and beside them all that
+LEAST_TOXIC labelled toxic documents have and that toxic documents favour, however rare or frequent. Edges are positive pointwise mutual information of two nodes within
 WINDOW words, discounted for small counts. Labelled documents give seed terms, by likelihood ratio: the SEEDS
 strongest of toxic documents, by that ratio, and all that are more frequent in clean ones. Random walks with restart from either
 set spread polarity over the graph; a word's weight is the standardised log ratio of the two, 0 for seeds of clean documents. A document's score is
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, id_text, map_batches, ready, stored
-from .kernel import buffers, slices, words
+from .kernel import buffers, mix, slices, words
 
-SUPPORT, COMMON, LEAST_DOCS, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.008, 0.10, 5, 8, 2, 0.3
+SUPPORT, COMMON, LEAST_DOCS, LEAST_TOXIC, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.005, 0.10, 5, 3, 10, 2, 0.3
 SEEDS, SEED_RATIO, RESTART, ROUNDS, LEXICON = 10, 3.5, 0.3, 40, 5.0
 #: SIGNIFICANCE 0: no pair of positive information is left out for being within what chance may give.
 BINS, PRECISION, RANGES, SIGNIFICANCE, BLOCK = 4000, 0.95, 512, 0.0, 1 << 18
@@ -67,6 +67,31 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, "lang string, h bigint, n bigint").groupBy("lang", "h").agg(F.sum("n").alias("n"))
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids; before the join, a bitmap of hashed ids (32 bits an id) drops most others, so that few texts are shuffled."""
+    bits = 1 << max(16, (32 * ids.count()).bit_length())
+
+    def spots(b: pa.RecordBatch) -> np.ndarray:
+        return (mix(b.column("doc_id").to_numpy().view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(bits, bool)
+        for b in batches:
+            have[spots(b)] = True
+        yield pa.record_batch([pa.array([np.packbits(have, bitorder="little").tobytes()])], ["have"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for r in ids.coalesce(8).mapInArrow(mark, "have binary").toLocalIterator():
+        total |= np.frombuffer(r["have"], np.uint8)
+    told = docs.sparkSession.sparkContext.broadcast(total)
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        k = spots(b)
+        return b.filter(pa.array((told.value[k >> 3] >> (k & 7)) & 1 == 1))
+
+    return map_batches(docs.filter("doc_id IS NOT NULL"), f, docs.schema).hint("merge").join(ids.hint("merge"), "doc_id", "left_semi")
+
+
 class Nodes:
     """Sorted hashes of the graph's words; a word's number is its place, its home the number of the language that has it in most documents."""
 
@@ -91,9 +116,10 @@ def _unpack(b: bytes, n: int) -> np.ndarray:
 
 
 def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
-    """(a, b, n): how often two nodes of one home, a < b by number, stand within WINDOW words of each other, if LEAST_PAIRS times at least; and (a, -1, n): all such pairs of node a. Pairs are numbered, and each task sends each of RANGES ranges of numbers as compressed differences and counts; a range is summed up in an array of fixed size."""
+    """(a, b, n): how often two nodes of one home, a < b by number, stand within WINDOW words of each other, if LEAST_PAIRS times at least; and (a, -1, n): all such pairs of node a. Pairs are numbered, and each task sends each of RANGES ranges (more for very many nodes) of numbers as compressed differences and counts; a range is summed up in an array of fixed size."""
     told, v = docs.sparkSession.sparkContext.broadcast(nodes), max(1, len(nodes.h))
-    width = v * v // RANGES + 1
+    ranges = max(RANGES, v * v >> 22)
+    width = v * v // ranges + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -127,7 +153,7 @@ def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
         if not held:
             return
         code, n = merged()
-        cuts = np.searchsorted(code // width, np.arange(RANGES + 1))
+        cuts = np.searchsorted(code // width, np.arange(ranges + 1))
         some = np.flatnonzero(np.diff(cuts))
         rows = [(int(r), int(cuts[r + 1] - cuts[r]), _pack(np.diff(code[cuts[r] : cuts[r + 1]], prepend=r * width)), _pack(n[cuts[r] : cuts[r + 1]])) for r in some]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["r", "size", "codes", "counts"])
@@ -342,41 +368,48 @@ def induce(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, N
     ready(docs.sparkSession)
     own = id_text(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     totals = own.groupBy("lang").agg(F.count("*").alias("total"))
+    own_labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL")
     low = F.greatest(F.lit(float(LEAST_DOCS)), SUPPORT * F.col("total"))
-    known = document_frequency(own).join(totals, "lang").filter((F.col("n") >= low) & (F.col("n") <= F.greatest(low, COMMON * F.col("total"))))
-    table = known.groupBy("h").agg(F.max(F.struct("n", "lang")).alias("top")).select("h", "top.lang").toPandas()
-    hashes = table["h"].to_numpy(np.int64).view(np.uint64)
+    found = document_frequency(among(own, own_labels.filter("toxic > 0 AND doc_id IS NOT NULL").select("doc_id"))).filter(F.col("n") >= LEAST_TOXIC).withColumnRenamed("n", "toxic")
+    known = document_frequency(own).join(totals, "lang").join(found.hint("shuffle_hash"), ["lang", "h"], "left")
+    band = (F.col("n") >= low) & (F.col("n") <= F.greatest(low, COMMON * F.col("total")))
+    table = known.select("h", "lang", "n", band.alias("band"), F.col("toxic").isNotNull().alias("found")).filter("band OR found").toPandas()
+    vocabulary = Nodes(np.unique(table["h"].to_numpy(np.int64).view(np.uint64)))
+    k, n, inside = vocabulary.number(table["h"].to_numpy(np.int64).view(np.uint64)), table["n"].to_numpy(np.int64), table["band"].to_numpy(bool)
     names, number = np.unique(table["lang"].to_numpy(dtype=object).astype(str), return_inverse=True)
-    nodes = Nodes(hashes, number.astype(np.int64))
-    home = names[nodes.home] if len(names) else np.zeros(0, object)
-    size = len(nodes.h)
-    held = stored(bags(own, nodes), "bags")
-    own_labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL")
+    size = len(vocabulary.h)
+    held = stored(bags(own, vocabulary), "bags")
     marked = stored(held.hint("merge").join(own_labels.hint("merge"), "doc_id"), "marked")  # labels grow with the documents: never broadcast
     t = (F.col("toxic") > 0).alias("t")
     numbers = {(r["t"], r["lang"]): r["n"] for r in marked.groupBy(t, "lang").agg(F.count("*").alias("n")).collect()}
     by = marked.select(t, "lang", F.explode(F.array_distinct("ids")).alias("k")).groupBy("t", "lang", "k").agg(F.count("*").alias("n")).toPandas()
-    ratio, start = np.zeros(size), np.zeros((2, size))
-    for lang in sorted(set(home.tolist())):
-        own_nodes = np.flatnonzero(home == lang)
-        part = by[by["lang"] == lang]
-        counts = [np.bincount(p["k"], p["n"], size)[own_nodes] if len(p := part[part["t"] == x]) else np.zeros(len(own_nodes)) for x in (True, False)]
+    each = np.zeros(len(k))  # seed ratio of a word in one of its languages
+    for x, lang in enumerate(names.tolist()):
+        part, own_rows = by[by["lang"] == lang], np.flatnonzero(number == x)
+        counts = [np.bincount(p["k"], p["n"], size)[k[own_rows]] if len(p := part[part["t"] == t]) else np.zeros(len(own_rows)) for t in (True, False)]
         if numbers.get((True, lang)):
-            ratio[own_nodes] = seed_ratio(*counts, numbers[True, lang], numbers.get((False, lang), 0))
-            start[:, own_nodes] = seeds(ratio[own_nodes])
-    weight = np.zeros(size)
+            each[own_rows] = seed_ratio(*counts, numbers[True, lang], numbers.get((False, lang), 0))
+    rows = np.flatnonzero(inside | (each > 0))
+    rows = rows[np.lexsort((number[rows], n[rows]))]  # the last, of most documents, is a word's home
+    home, ratio = np.full(size, -1), np.zeros(size)
+    home[k[rows]], ratio[k[rows]] = number[rows], each[rows]
+    graph = np.flatnonzero(home >= 0)
+    nodes, ratio = Nodes(vocabulary.h[graph], home[graph]), ratio[graph]
+    start, weight = np.zeros((2, len(graph))), np.zeros(size)
+    for x in range(len(names)):
+        start[:, nodes.home == x] = seeds(ratio[nodes.home == x])
     if start.any():
-        x, y = walks(ppmi(stored(pair_counts(own, nodes), "pairs"), nodes), nodes, start)
-        for lang in sorted(set(home.tolist())):
-            own_nodes = np.flatnonzero(home == lang)
-            weight[own_nodes] = polarity(x[own_nodes], y[own_nodes], ratio[own_nodes])
+        walked = walks(ppmi(stored(pair_counts(own, nodes), "pairs"), nodes), nodes, start)
+        for x in range(len(names)):
+            here = nodes.home == x
+            weight[graph[here]] = polarity(*walked[:, here], ratio[here])
     spread = scored(marked, weight, "t boolean", lambda b: [pa.array(np.asarray(b.column("toxic")) > 0)], ["t"]).filter("score > 0")
     top = spread.agg(F.max("score")).first()[0]
     if not top:
-        return held, weight, nodes, float("inf")
+        return held, weight, vocabulary, float("inf")
     bins = spread.groupBy("t", F.least(F.lit(BINS - 1), F.floor(F.col("score") / top * BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
     toxic, clean = (np.bincount(p["bin"], p["n"], BINS) if len(p := bins[bins["t"] == t]) else np.zeros(BINS) for t in (True, False))
-    return held, weight, nodes, calibrated(np.arange(BINS) * top / BINS, toxic, clean)
+    return held, weight, vocabulary, calibrated(np.arange(BINS) * top / BINS, toxic, clean)
 
 
 def scored(held: DataFrame, weight: np.ndarray, schema: str, more, names: list[str]) -> DataFrame:

@@ -192,3 +192,27 @@ def test_walks_in_parts_against_matrix(spark):
     for _ in range(X.ROUNDS):
         want = (1 - X.RESTART) * m @ want + X.RESTART * start.T
     assert np.allclose(X.walks(spark.createDataFrame(rows, "a int, b int, w double").repartition(3), nodes, start), want.T, rtol=1e-5)
+
+
+@pytest.fixture(scope="module")
+def heavy(spark):
+    """A third of the documents toxic, so that each planted term is in more than COMMON of them; badr is in four documents, fewer than LEAST_DOCS; badz in documents without labels alone."""
+    r = random.Random(9)
+    stock = ["".join(r.choice(["the", "ing", "er", "on", "an", "re", "ou"]) for _ in range(r.randint(4, 7))) for _ in range(800)]
+    bad, rows = [f"bad{x}" for x in "abcdefgh"], []
+    for i in range(600):
+        w = [r.choice(stock) for _ in range(60)]
+        if i % 3 == 0:
+            for x in [r.choice(bad) for _ in range(6)] + ["badr"] * (i in (3, 6, 9, 12)) + ["badz"] * 2 * (i % 15 == 0):
+                w.insert(r.randrange(25, 35), x)
+        rows.append((i, " ".join(w), "aa"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600) if i % 5], "doc_id bigint, toxic int")
+    return docs, labels, bad, {x.word: x.weight for x in X.lexicon(docs, labels).collect()}
+
+
+def test_toxic_words_beyond_the_band(heavy):
+    docs, labels, bad, words = heavy
+    assert {*bad, "badr"} <= set(words)
+    found = {r.doc_id for r in X.flag(docs, labels).collect()}
+    assert len(found & set(range(0, 600, 3))) >= 190 and len(found) <= 205
