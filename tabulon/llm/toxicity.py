@@ -4,7 +4,8 @@ Over all documents of a language, words in SUPPORT..COMMON of them are the graph
 LEAST_TOXIC labelled toxic documents have and that toxic documents favour, however rare or frequent. Edges are positive pointwise mutual information of two nodes within
 WINDOW words, discounted for small counts. Labelled documents give seed terms, by likelihood ratio: the SEEDS
 strongest of toxic documents, by that ratio, and all that are more frequent in clean ones. Random walks with restart from either
-set spread polarity over the graph; a word's weight is the standardised log ratio of the two, 0 for seeds of clean documents. A document's score is
+set spread polarity over the graph; a word's weight is the standardised log ratio of the two, 0 for seeds of clean documents alone: words of no labelled document
+have the weight that the walks give. A document's score is
 the sum of its words' weights above LEXICON, over the square root of its words; the threshold is calibrated on the
 scores of all labelled documents.
 
@@ -351,7 +352,7 @@ def polarity(x: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     middle = np.median(log[reached])
     spread = max(0.05, 1.4826 * float(np.median(np.abs(log[reached] - middle))))
     weight = (log - middle) / spread
-    return np.where((weight > LEXICON) & (ratio > 0), np.minimum(weight, 20.0), 0.0)
+    return np.where((weight > LEXICON) & (ratio >= 0), np.minimum(weight, 20.0), 0.0)
 
 
 def calibrated(scores: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:

@@ -216,3 +216,14 @@ def test_toxic_words_beyond_the_band(heavy):
     assert {*bad, "badr"} <= set(words)
     found = {r.doc_id for r in X.flag(docs, labels).collect()}
     assert len(found & set(range(0, 600, 3))) >= 190 and len(found) <= 205
+
+
+def test_toxic_word_of_unlabelled_documents_alone():
+    """Word 3 is in no labelled document and stands beside the toxic seeds 0, 1 and 2; word 4 does too, but clean documents favour it."""
+    r = np.random.default_rng(1)
+    edges = [(a, b, 1.0) for a in range(5, 200) for b in range(a + 1, 200) if r.random() < 0.2] + [(a, b, 5.0) for a in range(5) for b in range(a + 1, 5)] + [(a, 5 + a, 1.0) for a in range(5)]
+    a, b, w = (np.array(x) for x in zip(*edges))
+    ratio = np.full(200, -2.0)
+    ratio[:5] = 9.0, 8.0, 7.0, X.seed_ratio(np.zeros(1), np.zeros(1), 50, 100)[0], -0.5
+    weight = X.polarity(*X.walk(lambda: iter([(a[:900], b[:900], w[:900]), (a[900:], b[900:], w[900:])]), X.seeds(ratio)), ratio)
+    assert (weight > 0).tolist() == [True] * 4 + [False] * 196
