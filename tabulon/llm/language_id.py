@@ -4,9 +4,10 @@ For each language of the lang column a model of order ORDER is trained on a boun
 (SAMPLE a language, chosen by hash of doc_id; whole texts). All languages share one sorted array of n-gram hashes
 for each order, with one row of log probabilities for all languages, so that scoring a character is one binary
 search; only n-grams that no language has go on to the next lower order. A document gets the language of the least
-cross-entropy for each character. A third of the sample is held out; from its cross-entropies each language's
-limit is calibrated, between them and those of the same texts with their characters shuffled, and wider for short
-texts; a document beyond it is rejected.
+cross-entropy for each character. A third of the sample is held out; each language's limit is calibrated between the
+cross-entropies of its own held-out texts, all but REJECTED of them, and those that held-out texts of the other
+languages have without their own models; it isn't beyond REACH of the way to the same texts with their characters
+shuffled, which alone counts if there is one language, and it is wider for short texts; a document beyond it is rejected.
 
 Letters are compared in lower case, digits as 0, all else as one space. Defined results: a text that is NULL,
 empty or without letters is rejected, with NULL as its language and entropy; equal entropies go to the language
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from .base import documents, fresh, id_text, map_batches, ready
 from .kernel import buffers, slices
 
-#: SAMPLE: labelled documents for each language at most. SLACK: standard deviations of the held-out entropies, above their mean, that are still accepted. REACH: the part of the way from that mean to the entropy of the same characters in random order that is always accepted.
-ORDER, SAMPLE, SLACK, REACH, VOCABULARY = 4, 240, 6.0, 0.6, 1024
+#: SAMPLE: labelled documents for each language at most. SLACK: standard deviations of the held-out entropies, above their mean, that are still accepted. REACH: the part of the way from that mean to the entropy of the same characters in random order that is accepted at most, but for SLACK. REJECTED: the share of own texts, and of those of other languages, that a limit may lie on the wrong side of.
+ORDER, SAMPLE, SLACK, REACH, REJECTED, VOCABULARY = 4, 240, 6.0, 0.6, 0.005, 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SALT = [np.uint64(0xD1B54A32D192ED03 * (n + 1) % (1 << 64)) for n in range(ORDER + 1)]
 BOS = 1
@@ -135,7 +136,7 @@ class Model:
     def limit(self, best: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The largest entropy that is accepted of texts of so many characters in their best languages."""
         spread = np.sqrt(self.deviation[best] ** 2 + self.noise[best] ** 2 / np.maximum(count, 1))
-        return self.mean[best] + np.maximum(REACH * self.reach[best], SLACK * spread)
+        return self.mean[best] + np.maximum(self.reach[best], SLACK * spread)
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, own: np.ndarray, default: float = 0) -> np.ndarray:
@@ -195,15 +196,21 @@ def train(by_language: dict[str, list[str]]) -> Model:
         model.grams.append(Sorted(keys, rows))
         model.contexts.append(Sorted(ckeys, weights))
     mean, deviation, noise, reach = [], [], [], []
+    apart = {k: [t for i, t in enumerate(v) if i % 3 == 2] or v for k, v in by_language.items()}
+    scored = {k: model.entropies(v) for k, v in apart.items()}
     for x, k in enumerate(languages):
-        held = [t for i, t in enumerate(by_language[k]) if i % 3 == 2] or by_language[k]
-        e, number = model.entropies(held)
+        held, (e, number) = apart[k], scored[k]
         own = e[(e.argmin(axis=1) == x) & (number > 0), x]
         size = number[(e.argmin(axis=1) == x) & (number > 0)]
         middle = float(np.median(own)) if len(own) else 0.0
         mean.append(middle)
         wild = [t for t in map(_shuffled, held) if t.strip()]
-        reach.append(max(0.0, float(np.median(model.entropies(wild)[0].min(axis=1))) - middle) if wild else 0.0)
+        far = REACH * max(0.0, float(np.median(model.entropies(wild)[0].min(axis=1))) - middle) if wild else 0.0
+        foreign = np.concatenate([np.zeros(0), *(v[n > 0, x] for z, (v, n) in scored.items() if z != k)])
+        if len(own) and len(foreign):
+            high, low = np.quantile(own, 1 - REJECTED) - middle, np.quantile(foreign, REJECTED) - middle
+            far = min(far, float(max(high, (high + low) / 2)))
+        reach.append(far)
         deviation.append(float(1.4826 * np.median(np.abs(own - middle))) if len(own) else 0.0)
         noise.append(float(np.median(np.abs(own - middle) * np.sqrt(size))) if len(own) else 0.0)
     model.mean, model.deviation, model.noise, model.reach = map(np.array, (mean, deviation, noise, reach))

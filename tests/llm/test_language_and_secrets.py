@@ -70,6 +70,16 @@ def test_held_out_accuracy_and_rejection(spark):
     assert L.score(m, pa.array(noise))[2] == [False] * 3
 
 
+def test_language_left_out_is_rejected(spark):
+    by = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r.text[:3000])
+    for out in by:
+        m = L.train({k: v[: L.SAMPLE] for k, v in by.items() if k != out})
+        texts = [t for t in by[out] if len(t) >= 100][:60]
+        assert np.mean(L.score(m, pa.array(texts))[2]) <= 0.05, out
+
+
 def test_odd_rows(docs, empty, corpus):
     out = L.identify(docs).collect()
     assert len(out) == len(corpus)
