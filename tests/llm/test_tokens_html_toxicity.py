@@ -225,5 +225,6 @@ def test_toxic_word_of_unlabelled_documents_alone():
     a, b, w = (np.array(x) for x in zip(*edges))
     ratio = np.full(200, -2.0)
     ratio[:5] = 9.0, 8.0, 7.0, X.seed_ratio(np.zeros(1), np.zeros(1), 50, 100)[0], -0.5
-    weight = X.polarity(*X.walk(lambda: iter([(a[:900], b[:900], w[:900]), (a[900:], b[900:], w[900:])]), X.seeds(ratio)), ratio)
+    step = lambda q: np.stack([np.bincount(a, w * x[b], 200) + np.bincount(b, w * x[a], 200) for x in q])
+    weight = X.polarity(*X.walk(step, X.seeds(ratio)), ratio)
     assert (weight > 0).tolist() == [True] * 4 + [False] * 196
