@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+BATCH = "4MB"
+
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when it isn't installed, and sends them batches of 1,000 rows unless the session asks for another number than Spark's own: texts are long, and a batch is held on both sides."""
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(size) == "10000":
-        spark.conf.set(size, "1000")
+    """Lets Python workers import this package when it isn't installed, and bounds the batches sent to them by bytes, BATCH each, where the session has Spark's own bound: texts are long, and a batch is held on both sides."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(size, BATCH)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):

@@ -1,24 +1,27 @@
 """BPE encoding and decoding by a table of distinct words, and exact token counts.
 
 Texts are split into words by the tokenizer's own pattern, vectorised over UTF-8 bytes; a word is a span that BPE
-never merges across. Each distinct word of the corpus is encoded once, into a table (64-bit hash, ids), and ids go
-back to each text by position: every word's place in its text is looked up in the table. The table is sent to the
-executors as sorted arrays while it is below BROADCAST bytes, which is measured; beyond it, words with their
-documents and positions are joined with the table by sort-merge join and put in order again.
+never merges across. Texts are taken in blocks of about BLOCK bytes. A block gives its distinct words, once each, to
+buckets by hash, and keeps its texts as numbers of words. A bucket's task encodes each distinct word once, for all
+blocks that have it, and gives each block the ids of its words; there the ids go back to the texts by position. All
+of it is sequences of numbers, compressed; what is shuffled is the words of blocks, their ids, and the texts as
+numbers. The way is the same at any size, and nothing that grows with the data is sent out: only the vocabulary is.
 
-Decoding joins ids with the table of pieces, one row that holds all pieces of the vocabulary (its size is that of
-the tokenizer, not of the data) and is looked up by id.
+Decoding joins ids with the table of pieces.
 
-The vocabulary (a tiktoken rank file) is a parameter. Special tokens in a text are ordinary text.
+The vocabulary (a tiktoken rank file) is a parameter, read on the driver alone. Special tokens in a text are ordinary text.
 
 Defined results: a NULL text has NULL ids and no length, and isn't counted; an empty text has no ids and length 0;
-repeated rows are encoded each; bytes of ids that are no UTF-8 decode to replacement characters. Two words of one
-hash would get the same ids: among a thousand million words the chance is 3 %, and decoding shows it.
+rows with a NULL doc_id, and repeated rows, are encoded each; an empty table gives an empty result; a very long text
+is encoded whole, in a block of its own size; words of equal frequency are numbered by hash, which shows nowhere; bytes of ids
+that are no UTF-8 decode to replacement characters. Within a block two words of one 64-bit hash would get the same ids: a chance of 4e-9 a block,
+and decoding shows it; buckets compare the words themselves.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,25 +29,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .base import documents, id_text, map_batches, ready, stored
-from .kernel import buffers, slices, span_hashes
+from .base import documents, id_text, map_batches, ready, scratch
+from .kernel import SLICE, buffers, slices, span_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BROADCAST = 256 << 20
+BLOCK, END = 16 << 20, 2**31 - 1
 
 
 @lru_cache(maxsize=2)
-def ranks(path: str) -> dict[bytes, int]:
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+def ranks(raw: bytes) -> dict[bytes, int]:
+    """Of a rank file."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(raw: bytes):
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(raw), special_tokens={})
 
 
 @lru_cache(maxsize=1)
@@ -122,187 +127,227 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hashes(values, start - base, end - base), row, start, end
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(h, word) of each distinct word. A task hands on a word once for each stretch of about 4 million distinct ones."""
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, their low halves and then their high ones, compressed."""
+    x = np.ascontiguousarray(x.astype("<u4"))
+    return pa.compress(np.concatenate([x.astype("<u2"), (x >> np.uint32(16)).astype("<u2")]), codec="zstd", asbytes=True)
+
+
+def spread(b: bytes, n: int) -> np.ndarray:
+    halves = np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u2")
+    return halves[:n].astype(np.uint32) | (halves[n:].astype(np.uint32) << np.uint32(16))
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start:start + size] of each span, one after the other."""
+    size = size.astype(np.int64)
+    return data[np.repeat(start.astype(np.int64) - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+class Block:
+    """Texts of about BLOCK bytes: their distinct words, numbered by falling frequency, and the texts as word numbers."""
+
+    def __init__(self) -> None:
+        self.size = 0
+        self.parts: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]] = []
+
+    def add(self, b: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> None:
+        """Rows of b, whose texts are at[0]..at[-1] of data."""
+        h, row, start, end = word_hashes(data, at)
+        words, first, inverse, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        length = end[first] - start[first]
+        per_row = np.bincount(row, minlength=b.num_rows).astype(np.int32)
+        rest = [c for c in b.schema.names if c != "text"] + (["text"] if "kept" in b.schema.names else [])
+        meta = pa.record_batch([pa.array(per_row, mask=np.asarray(b.column("text").is_null())), *(b.column(c) for c in rest if c != "kept")], ["words", *(c for c in rest if c != "kept")])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, meta.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(meta)
+        self.parts.append((sink.getvalue().to_pybytes(), words, inverse.astype(np.int32), often, length, gather(data, start[first], length).tobytes()))
+        self.size += int(at[-1] - at[0])
+
+    def rows(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """One row for each bucket of words, and one for each part of the texts, of bucket -1."""
+        size = np.cumsum([0, *(len(p[1]) for p in self.parts)])
+        h, first, inverse = np.unique(np.concatenate([p[1] for p in self.parts]), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([p[3] for p in self.parts]), len(h))
+        rank = np.empty(len(h), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(h))
+        length = np.concatenate([p[4] for p in self.parts])
+        begin, blob = np.cumsum(length) - length, np.frombuffer(b"".join(p[5] for p in self.parts), np.uint8)
+        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((rank, bucket))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[k] : cuts[k + 1]]
+            spots = first[own]
+            out.append((block, k, len(own), squeeze(np.diff(rank[own], prepend=0)), squeeze(length[spots]), pa.compress(gather(blob, begin[spots], length[spots]), codec="zstd", asbytes=True)))
+        for i, p in enumerate(self.parts):
+            out.append((block, -1, len(p[2]), p[0], squeeze(rank[inverse[size[i] : size[i + 1]][p[2]]]), b""))
+        for k in range(0, len(out), 64):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64]), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "bucket", "n", "a", "b", "c"])
+
+
+SPLIT = "block bigint, bucket int, n int, a binary, b binary, c binary"
+
+
+def split_blocks(rows: DataFrame, buckets: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Words and texts of blocks, in the shared folder (so that both are of the same blocks, whatever is computed again). rows: (text, ..); the other columns stay with the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, fresh, size_fresh = np.zeros(0, np.uint64), [], 0
+        from pyspark import TaskContext
+
+        block, number, base = Block(), 0, TaskContext.get().partitionId() << 32
         for b in batches:
             data, at = buffers(b.column("text"))
-            for i, j in slices(at):
-                h, _, start, end = word_hashes(data, at[i : j + 1])
-                if not len(h):
-                    continue
-                h, where = np.unique(h, return_index=True)
-                if len(seen):
-                    near = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
-                    new = seen[near] != h
-                    h, where = h[new], where[new]
-                if not len(h):
+            for i, j in slices(at, min(SLICE, most)):
+                block.add(b.slice(i, j - i), data, at[i : j + 1])
+                if block.size >= most:
+                    yield from block.rows(base + number, buckets)
+                    block, number = Block(), number + 1
+        if block.parts:
+            yield from block.rows(base + number, buckets)
+
+    path = scratch(rows.sparkSession, "blocks")
+    rows.mapInArrow(run, SPLIT).withColumn("kind", F.when(F.col("bucket") < 0, "texts").otherwise("words")).write.partitionBy("kind").parquet(path)
+    both = rows.sparkSession.read.schema(f"{SPLIT}, kind string").parquet(path)
+    return both.filter("kind = 'words'").drop("kind"), both.filter("kind = 'texts'").drop("kind")
+
+
+def encoded_words(words: DataFrame, vocabulary: str, with_ids: bool) -> DataFrame:
+    """(block, bucket, n, a, b, c): for each block's words of a bucket, the ids (c) and how many each has (b). A bucket is one task's, which encodes each word once, whatever block it is in."""
+    told = words.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, whole = encoder(told.value), ranks(told.value)
+        now, known = None, {}
+
+        def one(w: bytes) -> bytes:
+            ids = known[w] = np.array([whole[w]] if w in whole else e.encode_ordinary(w.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+            return ids
+
+        for b in batches:
+            out = []
+            for bucket, n, lengths_, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "b", "c"))):
+                if bucket != now:
+                    now, known = bucket, {}
+                end = np.cumsum(spread(lengths_, n), dtype=np.int64)
+                data = pa.decompress(blob, decompressed_size=int(end[-1]), codec="zstd", asbytes=True)
+                stops = end.tolist()
+                ids = [known.get(w) or one(w) for w in map(data.__getitem__, map(slice, [0, *stops], stops))]
+                size = np.fromiter(map(len, ids), np.int64, n) // 4
+                out.append((squeeze(size), squeeze(np.frombuffer(b"".join(ids), "<u4")) if with_ids else b""))
+            if out:
+                yield pa.record_batch([b.column("block"), b.column("bucket"), b.column("n"), b.column("a"), *(pa.array(c, pa.binary()) for c in zip(*out))], ["block", "bucket", "n", "a", "b", "c"])
+
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SPLIT)
+
+
+def by_position(rows: DataFrame, vocabulary: str, schema: str, emit, with_ids: bool = True, block: int = BLOCK) -> DataFrame:
+    """emit(meta, ids in each text, ids) for the parts of all blocks: a block's encoded words meet its texts, and ids are looked up by the place of each word."""
+    spark = rows.sparkSession
+    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words, texts = split_blocks(rows, buckets, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found, size, begin, flat = None, [], None, None, None
+        for b in batches:
+            for number_, bucket, n, x, y, z in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "n", "a", "b", "c"))):
+                if number_ != now:
+                    now, found, size = number_, [], None
+                if bucket < END:
+                    count = spread(y, n)
+                    found.append((np.cumsum(spread(x, n), dtype=np.int64), count, spread(z, int(count.sum())) if with_ids else None))
                     continue
-                fresh.append(h)
-                size_fresh += len(h)
-                if size_fresh > 1 << 16 and size_fresh > len(seen) // 4:  # until then a word may be handed on again
-                    seen = np.unique(np.concatenate([*([seen] if len(seen) < 1 << 22 else []), *fresh]))
-                    fresh, size_fresh = [], 0
-                size = end[where] - start[where]
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                take = np.repeat(start[where] - offsets[:-1], size) + np.arange(offsets[-1])
-                words = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[take].tobytes())])
-                yield pa.record_batch([pa.array(h.view(np.int64)), words], ["h", "word"])
-
-    found = id_text(docs).select("text").filter("text IS NOT NULL").mapInArrow(run, "h bigint, word binary")
-    return found.groupBy("h").agg(F.first("word").alias("word"))
-
-
-def word_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(h, ids) of each distinct word, in the shared folder; ids are 32-bit little-endian."""
+                if size is None:
+                    place = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+                    count = np.concatenate([np.zeros(0, np.uint32), *(f[1] for f in found)])
+                    if len(place) and int(place.max()) + 1 != len(place):
+                        raise RuntimeError("a block lacks words")
+                    size, begin = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+                    size[place], begin[place] = count, np.cumsum(count, dtype=np.int64) - count
+                    flat = np.concatenate([np.zeros(0, np.uint32), *(f[2] for f in found)]).astype(np.int32) if with_ids else None
+                    found = []
+                number = spread(y, n)
+                own = size[number]
+                meta = pa.ipc.open_stream(x).read_next_batch()
+                ends = np.cumsum(meta.column("words").fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                total = np.diff(np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], ends])])
+                yield emit(meta, total, gather(flat, begin[number], own) if with_ids else None)
+
+    both = encoded_words(words, vocabulary, with_ids).unionByName(texts.withColumn("bucket", F.lit(END)))
+    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
+
+
+def lists_of(meta: pa.RecordBatch, total: np.ndarray, ids: np.ndarray) -> pa.Array:
+    words = meta.column("words")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(total)]).astype(np.int32)), pa.array(ids), mask=words.is_null() if words.null_count else None)
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text, ids) of each row of docs."""
     ready(docs.sparkSession)
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        e = encoder(vocabulary)
-        whole = ranks(vocabulary)
-        ids = [np.array([whole[w]] if w in whole else e.encode_ordinary(w.decode("utf-8", "surrogatepass")), "<i4").tobytes() for w in b.column("word").to_pylist()]
-        return pa.record_batch([b.column("h"), pa.array(ids, pa.binary())], ["h", "ids"])
-
-    return stored(map_batches(distinct_words(docs), f, "h bigint, ids binary"), "words")
-
-
-class Table:
-    """Sorted hashes, how many ids each has, and the ids of each one after the other, as narrow as they can be: this is what is sent out."""
-
-    def __init__(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray):
-        self.h, self.ids = h, ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
-        self.size = size.astype(np.min_scalar_type(int(size.max(initial=0))))
-        self.starts: np.ndarray | None = None
-
-    @staticmethod
-    def of(table: DataFrame, with_ids: bool = True) -> Table:
-        """Collected, or without the ids, which counting doesn't need."""
-        rows = table.select("h", "ids" if with_ids else (F.length("ids") / 4).cast("int").alias("size")).toArrow()
-        h = rows["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h, kind="stable")
-        if not with_ids:
-            return Table(h[order], rows["size"].to_numpy()[order], np.zeros(0, np.int32))
-        parts = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-        data, at = buffers(parts.cast(pa.large_binary()).view(pa.large_string()))
-        flat, at = (data[at[0] : at[-1]].view("<i4") if len(data) else np.zeros(0, "<i4")), (at - at[0]) // 4
-        size = np.diff(at)[order]
-        out = np.zeros(len(flat), np.int32)
-        done = 0
-        for k in range(0, len(order), 1 << 18):  # in parts, to stay small
-            own, n = order[k : k + (1 << 18)], size[k : k + (1 << 18)]
-            take = np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out[done : done + len(take)] = flat[take]
-            done += len(take)
-        return Table(h[order], size, out)
-
-    @property
-    def at(self) -> np.ndarray:
-        """Where the ids of each hash begin."""
-        if self.starts is None:
-            self.starts = (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.uint32 if len(self.ids) < 1 << 32 else np.int64)
-        return self.starts
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.h, h)
-
-
-def _counts(table: Table, column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids in each text, and where each word of each slice is in the table."""
-    data, at = buffers(column)
-    total, found = np.zeros(len(at) - 1, np.int64), []
-    for i, j in slices(at):
-        h, row, _, _ = word_hashes(data, at[i : j + 1])
-        names, inverse = np.unique(h, return_inverse=True)
-        where = table.find(names)[inverse]
-        found.append(where)
-        total[i:j] = np.bincount(row, table.size[where], j - i)
-    return total, found
-
-
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, broadcast: int = BROADCAST, digest: bool = False) -> DataFrame:
-    """(doc_id, text, ids) of each row of docs; with digest, the text's MD5 in place of the text, so that texts don't go back through Arrow."""
-    spark = ready(docs.sparkSession)
-    table = word_table(docs, vocabulary)
-    n, size = table.agg(F.count("*"), F.sum(F.length("ids"))).first()
-    if 20 * n + (size or 0) <= broadcast:
-        told = spark.sparkContext.broadcast(Table.of(table))
-
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            t, column = told.value, b.column("text")
-            total, found = _counts(t, column)
-            where = np.concatenate([np.zeros(0, np.int64), *found])
-            number = t.size[where].astype(np.int64)
-            ids = t.ids[np.repeat(t.at[where].astype(np.int64) - (np.cumsum(number) - number), number) + np.arange(number.sum())]
-            offsets = np.concatenate([[0], np.cumsum(total)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=column.is_null() if column.null_count else None)
-            return pa.record_batch([b.column("doc_id"), b.column("digest") if digest else column, lists], ["doc_id", "digest" if digest else "text", "ids"])
-
-        own = id_text(docs)
-        return map_batches(own.withColumn("digest", F.md5("text")) if digest else own, f, f"doc_id bigint, {'digest' if digest else 'text'} string, ids array<int>", 4 << 20)
-    joined = encode_by_join(docs, table)
-    return joined.select("doc_id", F.md5("text").alias("digest"), "ids") if digest else joined
-
-
-def encode_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """The same for a table too large to send out: words are joined with it by hash, and ids put in order of position."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = buffers(b.column("text"))
-        key = b.column("row").to_numpy()
-        out = []
-        for i, j in slices(at):
-            h, row, start, _ = word_hashes(data, at[i : j + 1])
-            out.append((key[i + row], (start - at[i + row]).astype(np.int32), h.view(np.int64)))
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["row", "pos", "h"])
+    def emit(meta: pa.RecordBatch, total: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([meta.column("doc_id"), meta.column("text"), lists_of(meta, total, ids)], ["doc_id", "text", "ids"])
+
+    return by_position(id_text(docs).withColumn("kept", F.lit(True)), vocabulary, "doc_id bigint, text string, ids array<int>", emit, block=block)
 
-    key = F.xxhash64("doc_id", "text")
-    rows = id_text(docs)
-    once = rows.filter("text IS NOT NULL").select(key.alias("row"), "text").dropDuplicates(["row"])
-    def lists(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([b.column("h"), pa.array([np.frombuffer(x, "<i4") for x in b.column("ids").to_pylist()], pa.list_(pa.int32()))], ["h", "ids"])
 
-    words = map_batches(once, run, "row bigint, pos int, h bigint", 4 << 20).hint("merge").join(map_batches(table, lists, "h bigint, ids array<int>").hint("merge"), "h")
-    whole = words.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all"))
-    joined = whole.select("row", F.flatten("all.ids").alias("ids"))
-    return rows.withColumn("row", key).join(joined, "row", "left").select("doc_id", "text", F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.coalesce("ids", F.array().cast("array<int>"))).alias("ids"))
+class Pieces:
+    """The table of pieces, by id: as large as the tokenizer's vocabulary."""
 
+    def __init__(self, vocabulary: str):
+        known = ranks(open(vocabulary, "rb").read())
+        every = [b""] * (max(known.values()) + 1)
+        for piece, k in known.items():
+            every[k] = piece
+        self.size = np.array([len(p) for p in every], np.int64)
+        self.start, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(every), np.uint8)
 
-def pieces(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row: the bytes of all pieces, in hexadecimal, by id."""
-    known = ranks(vocabulary)
-    all_ = [""] * (max(known.values()) + 1)
-    for piece, k in known.items():
-        all_[k] = piece.hex()
-    return spark.createDataFrame([(all_,)], "pieces array<string>")
+    def join(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the pieces of ids, in order, and where those of ids at[0], at[1].. begin."""
+        size = self.size[ids]
+        return gather(self.data, self.start[ids], size), np.concatenate([[0], np.cumsum(size)])[at]
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """encoded with the column decoded, from ids; NULL for NULL."""
-    joined = encoded.join(F.broadcast(pieces(encoded.sparkSession, vocabulary)))  # a single row, as large as the vocabulary
-    return joined.withColumn("decoded", F.decode(F.unhex(F.array_join(F.transform("ids", lambda k: F.get("pieces", k)), "")), "UTF-8")).drop("pieces")
+    """encoded with the column decoded, from ids; NULL for NULL. Ids are joined with the table of pieces, which is sent out (its size is that of the vocabulary): an array by id is its hash table."""
+    told = ready(encoded.sparkSession).sparkContext.broadcast(Pieces(vocabulary))
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids = b.column("ids")
+        size = np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        data, at = told.value.join(ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]))
+        none, raw = np.asarray(ids.is_null()), data.tobytes()
+        texts = [None if gone else raw[i:j].decode("utf-8", "replace") for gone, i, j in zip(none.tolist(), at[:-1].tolist(), at[1:].tolist())]
+        return b.append_column("decoded", pa.array(texts, pa.string()))
+
+    return map_batches(encoded, f, StructType([*encoded.schema.fields, StructField("decoded", StringType())]), 4 << 20)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's ids, and whether they decode to its text."""
-    both = decode(encode(documents(spark, sf_dir), digest=True))
-    return both.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.md5("decoded").eqNullSafe(F.col("digest")).alias("exact"))
+    """Each document's ids, and whether they decode to its text: by the MD5 of both, so that texts needn't stay with the ids."""
+    told = ready(spark).sparkContext.broadcast(Pieces(VOCABULARY))
+
+    def emit(meta: pa.RecordBatch, total: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        data, at = told.value.join(ids, np.concatenate([[0], np.cumsum(total)]))
+        exact = [d is None or hashlib.md5(data[i:j]).digest() == d for d, i, j in zip(meta.column("digest").to_pylist(), at[:-1].tolist(), at[1:].tolist())]
+        gone = np.asarray(meta.column("digest").is_null())
+        return pa.record_batch([meta.column("doc_id"), pa.array(total.astype(np.int32), mask=gone), lists_of(meta, total, ids), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"])
 
+    rows = id_text(documents(spark, sf_dir)).withColumn("digest", F.unhex(F.md5("text")))
+    return by_position(rows, VOCABULARY, "doc_id bigint, n_tokens int, ids array<int>, exact boolean", emit)
 
-def lengths(docs: DataFrame, vocabulary: str = VOCABULARY, broadcast: int = BROADCAST) -> DataFrame:
+
+def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of each row of docs with a text."""
-    spark = ready(docs.sparkSession)
-    table = word_table(docs, vocabulary)
-    n, size = table.agg(F.count("*"), F.sum(F.length("ids"))).first()
-    if 20 * n + (size or 0) > broadcast:
-        return encode_by_join(docs, table).filter("text IS NOT NULL").select("doc_id", F.size("ids").alias("n_tokens"))
-    told = spark.sparkContext.broadcast(Table.of(table, with_ids=False))
+    ready(docs.sparkSession)
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([b.column("doc_id"), pa.array(_counts(told.value, b.column("text"))[0].astype(np.int32))], ["doc_id", "n_tokens"])
+    def emit(meta: pa.RecordBatch, total: np.ndarray, _: None) -> pa.RecordBatch:
+        return pa.record_batch([meta.column("doc_id"), pa.array(total.astype(np.int32))], ["doc_id", "n_tokens"])
 
-    return map_batches(id_text(docs).filter("text IS NOT NULL"), f, "doc_id bigint, n_tokens int", 4 << 20)
+    return by_position(id_text(docs).filter("text IS NOT NULL"), vocabulary, "doc_id bigint, n_tokens int", emit, with_ids=False)
 
 
 def histogram(counted: DataFrame) -> DataFrame:

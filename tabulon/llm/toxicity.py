@@ -482,10 +482,10 @@ def _graph_words(own: DataFrame, marked: DataFrame) -> tuple[DataFrame, dict[str
     low = F.greatest(F.lit(float(LEAST_DOCS)), SUPPORT * F.col("total"))
     band = known.filter((F.col("n") >= low) & (F.col("n") <= F.greatest(low, COMMON * F.col("total")))).select("lang", "h")
     near = stored(document_frequency(own, Nodes(h ^ np.array([salt(x) for x in langs], np.uint64))).withColumnRenamed("n", "k"), "near")
-    close = stored(known.filter(F.col("n") < low).select("lang", "h", "n").join(near, ["lang", "h"], "left").fillna(0, ["k"]), "close")
+    close = stored(known.select("lang", "h", "n", (F.col("n") < low).alias("rare")).join(near, ["lang", "h"], "left").fillna(0, ["k"]), "close")
     having = {r["lang"]: r["k"] for r in near.filter("h = 0").collect()}
     sums = _by_language(spark, [(r["lang"], r["n"], r["k"], having.get(r["lang"], 0)) for r in close.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()], "all_n bigint, all_k bigint, having bigint")
-    rare = close.join(sums, "lang").select("lang", "h", signed_root(F.col("k"), F.col("n"), F.col("all_k") - F.col("k"), F.col("all_n") - F.col("n")).alias("root"), (F.col("k") >= F.greatest(F.lit(float(LEAST_TOXIC)), RARE * F.col("having"))).alias("enough"))
+    rare = close.filter("rare").join(sums, "lang").select("lang", "h", signed_root(F.col("k"), F.col("n"), F.col("all_k") - F.col("k"), F.col("all_n") - F.col("n")).alias("root"), (F.col("k") >= F.greatest(F.lit(float(LEAST_TOXIC)), RARE * F.col("having"))).alias("enough"))
     every = band.union(_evidence(rare).select("lang", "h")).union(spark.createDataFrame(found).select("lang", "h")).distinct()
     return every.join(tested.select("lang", "h", "root"), ["lang", "h"], "left").fillna(0.0, ["root"]), least
 

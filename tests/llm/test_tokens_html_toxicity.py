@@ -27,12 +27,16 @@ def test_split_is_the_pattern():
     assert [pattern.findall(t) for t in texts] == out
 
 
-@pytest.mark.parametrize("broadcast", [K.BROADCAST, 0])
-def test_encode_and_decode_round_trip(docs, corpus, broadcast):
-    e = K.encoder(K.VOCABULARY)
-    marked = K.decode(K.encode(docs, broadcast=broadcast, digest=True))
-    assert marked.filter("NOT md5(decoded) <=> digest").count() == 0
-    out = K.decode(K.encode(docs, broadcast=broadcast)).collect()
+def ranks_and_encoder():
+    raw = open(K.VOCABULARY, "rb").read()
+    return K.ranks(raw), K.encoder(raw)
+
+
+@pytest.mark.parametrize("block", [K.BLOCK, 500])
+def test_encode_and_decode_round_trip(docs, corpus, block):
+    """Small blocks too, so that words are in many blocks."""
+    _, e = ranks_and_encoder()
+    out = K.decode(K.encode(docs, block=block)).collect()
     assert len(out) == len(corpus)
     key = lambda x: (str(x[0]), str(x[1]))
     for r, (i, t, *_) in zip(sorted(out, key=key), sorted(corpus, key=key)):
@@ -40,8 +44,27 @@ def test_encode_and_decode_round_trip(docs, corpus, broadcast):
         assert r.ids == (None if t is None else e.encode_ordinary(t))
 
 
+def test_op5_against_the_tokenizer(spark):
+    _, e = ranks_and_encoder()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    out = K.op5_bpe(spark, SF).collect()
+    assert len(out) == len(texts) and all(r.exact and r.ids == e.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_pieces_that_are_no_text(spark):
+    known, _ = ranks_and_encoder()
+    half = known["é".encode()[:1]]
+    rows = spark.createDataFrame([(1, [half], "x"), (2, None, None), (3, [], "y")], "doc_id bigint, ids array<int>, note string")
+    assert {(r.doc_id, r.decoded, r.note) for r in K.decode(rows).collect()} == {(1, "\ufffd", "x"), (2, None, None), (3, "", "y")}
+
+
+def test_squeeze_and_spread():
+    x = np.array([0, 1, 65535, 65536, 2**32 - 1, 7], np.uint32)
+    assert K.spread(K.squeeze(x), 6).tolist() == x.tolist() and not len(K.spread(K.squeeze(x[:0]), 0))
+
+
 def test_token_counts(docs, corpus, empty):
-    e = K.encoder(K.VOCABULARY)
+    _, e = ranks_and_encoder()
     sizes = sorted(len(e.encode_ordinary(t)) for _, t, *_ in corpus if t is not None)
     h = K.histogram(K.lengths(docs))
     for r in h.collect():
