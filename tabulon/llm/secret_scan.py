@@ -1,14 +1,19 @@
 """Secret scan: a small character convolutional network in numpy over every candidate and its context.
 
-Candidates are found in the bytes of whole texts: runs of 16 or more of [A-Za-z0-9+/_.-] that hold a digit, values
-assigned to names such as password, token or key, and private key blocks. Each candidate with CONTEXT bytes on
-either side goes through the network: embedding, convolution, pooling over candidate and left context apart, a
-hidden layer. It is trained on labelled findings (generated from seeds, in many formats, with look-alikes such as
-checksums, commits, card numbers and file names as negatives). On held-out findings the scores are calibrated by a
-logistic fit and the threshold set as high as a recall of RECALL allows.
-
-Defined results: NULL and empty texts have no findings; overlapping candidates are one, the assigned value before a
-run; repeated rows have the same findings each; rows with a NULL doc_id are scanned and redacted too.
+Candidates are found in the bytes of whole texts, each row by itself: runs of 16 or more of [A-Za-z0-9+/_.-] that hold
+a digit, or of 20 or more that go from small to capital letters CASES times at least; values assigned to names such as
+password, token or key, quoted ones up to the closing quote; passwords in URLs; and private key blocks. Each candidate
+with CONTEXT bytes on either side goes through the network: embedding, convolution, pooling over candidate and left
+context apart, a hidden layer. Candidates go in groups of bounded size, and a very long one in overlapping windows
+whose maxima and sums are carried on, so that memory is bounded and nothing is cut off. The network is trained on labelled
+findings (generated from seeds, in many formats, with look-alikes such as checksums, commits, card numbers and file
+names as negatives). On held-out findings the scores are calibrated by a logistic fit and the threshold set as high as
+a recall of RECALL allows.
+
+Defined results: NULL and empty texts, and empty tables, have no findings; very long texts are scanned whole;
+overlapping candidates are one, the one that begins first and of those the assigned value before a run; repeated rows
+have the same findings each; rows with a NULL doc_id are scanned and redacted too; what a row holds doesn't depend on
+its neighbours.
 """
 
 from __future__ import annotations
@@ -29,8 +34,11 @@ from .kernel import buffers, slices
 
 CONTEXT, RECALL, FINDINGS, MASK = 24, 0.995, 7000, "[SECRET]"
 NAME = re.compile(rb"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|bearer|credentials?)["']?\s{0,2}$""", re.I)
-VALUE = re.compile(rb"""[=:]{1,2}\s{0,2}["']?([^\s"'<>,;]{6,})""")
+VALUE = re.compile(rb"""[=:]{1,2}>?\s{0,2}(?:"([^"\n\xff]{6,})"|'([^'\n\xff]{6,})'|["']?([^\s"'<>,;\xff]{6,}))""")
+URL = re.compile(rb"""://[^\s/:@"'<>\xff]{1,64}:([^\s/@"'<>\xff]{6,})@[A-Za-z0-9]""")
 BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
+#: Ends each row in the buffer that is scanned; no text has it, and no pattern takes it.
+ROW_END, CASES, CELLS, WINDOW = 0xFF, 3, 1 << 17, 4096
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in string.ascii_letters + string.digits + "+/_.-"]] = True
 _DIGIT = np.zeros(256, np.int32)
@@ -39,27 +47,30 @@ _DIGIT[48:58] = 1
 
 def candidates(data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str]]:
     """(row, start, end, kind) in rows at[0]..at[-1] of the buffer, in order and without overlaps."""
-    base, n = int(at[0]), int(at[-1] - at[0])
-    part = data[base : base + n]
+    base = int(at[0])
+    part = np.insert(data[base : int(at[-1])], at[1:] - base, ROW_END)
+    edges, n = at - base + np.arange(len(at)), len(part)
     raw = part.tobytes()
     found: list[tuple[int, int, int, str]] = []
     if b"-----BEGIN" in raw:
         found += [(m.start(), m.end(), 0, "private_key") for m in BLOCK.finditer(raw)]
     for p in np.flatnonzero((part == 61) | (part == 58)).tolist():
+        if raw[p + 1 : p + 3] == b"//" and (m := URL.match(raw, p)):
+            found.append((m.start(1), m.end(1), 1, "assigned"))
         if NAME.search(raw, max(0, p - 20), p) and (m := VALUE.match(raw, p)):
-            end = m.end(1)
-            while end > m.start(1) + 6 and raw[end - 1] in b".)]}":
+            start, end = m.span(m.lastindex)
+            while m.lastindex == 3 and end > start + 6 and raw[end - 1] in b".)]}":
                 end -= 1
-            found.append((m.start(1), end, 1, "assigned"))
+            found.append((start, end, 1, "assigned"))
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = _RUN[part]
-    first = np.zeros(n + 1, bool)
-    first[at - base] = True
-    start, end = np.flatnonzero(inside[1:] & (~inside[:-1] | first)), np.flatnonzero(inside[:-1] & (~inside[1:] | first))
+    start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
     long = end - start >= 16
     start, end = start[long], end[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[part], dtype=np.int64)])
-    some = digits[end] > digits[start]
+    upper, lower = (part >= 65) & (part <= 90), (part >= 97) & (part <= 122)
+    turns = np.concatenate([[0, 0], np.cumsum(lower[:-1] & upper[1:])])
+    some = (digits[end] > digits[start]) | ((end - start >= 20) & (turns[end] - turns[np.minimum(start + 1, n)] >= CASES))
     for s, e in zip(start[some].tolist(), end[some].tolist()):
         while e > s and raw[e - 1] in b".-/":
             e -= 1
@@ -67,12 +78,11 @@ def candidates(data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, st
             e += 1
         if e - s >= 16:
             found.append((s, e, 2, "token"))
-    edges, out, last = at - base, [], 0
+    out, last = [], 0
     for s, e, _, kind in sorted(found, key=lambda x: (x[0], x[2], -x[1])):
-        row = int(np.searchsorted(edges, s, "right")) - 1
-        e = min(e, int(edges[row + 1]))
         if s >= last and e > s:
-            out.append((row, s + base, e + base, kind))
+            row = int(np.searchsorted(edges, s, "right")) - 1
+            out.append((row, s - row + base, e - row + base, kind))
             last = e
     return out
 
@@ -111,6 +121,23 @@ class Network:
         hid = np.maximum(z @ p["h"] + p["hb"], 0)
         return hid @ p["o"] + p["ob"][0], (ids, part, cols, y, inside, left, size, ia, ib, z, hid)
 
+    def pooled(self, raw: bytes, span: tuple[int, int, int, int]) -> float:
+        """forward of one span of any length, in windows that overlap by the convolution's reach."""
+        p, half, (f, s, e, t) = self.p, self.W // 2, span
+        most, left, total = np.zeros(self.C, np.float32), np.zeros(self.C, np.float32), np.zeros(self.C, np.float64)
+        for k in range(f, t, WINDOW):
+            low, high = max(f, k - half), min(t, k + WINDOW + half)
+            ids = np.frombuffer(raw[low:high], np.uint8).astype(np.int64)
+            place = np.arange(low, high)
+            part = np.where(place < s, 1, np.where(place < e, 2, 3))
+            x = np.pad(p["emb"][np.where(ids >= 128, 128, ids)] + p["part"][part], ((half, half), (0, 0)))
+            y = np.maximum(np.concatenate([x[i : i + high - low] for i in range(self.W)], axis=1) @ p["conv"] + p["cb"], 0)
+            own = (place >= k) & (place < k + WINDOW)
+            a, b = y[own & (part == 2)], y[own & (part == 1)]
+            most, left, total = np.maximum(most, a.max(axis=0, initial=0)), np.maximum(left, b.max(axis=0, initial=0)), total + a.sum(axis=0)
+        z = np.concatenate([most, left, (total / max(1, e - s)).astype(np.float32)])
+        return float(np.maximum(z @ p["h"] + p["hb"], 0) @ p["o"] + p["ob"][0])
+
     def gradients(self, g: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
         p, half = self.p, self.W // 2
         ids, part, cols, y, inside, left, size, ia, ib, z, hid = kept
@@ -134,7 +161,27 @@ class Network:
         return d
 
     def probability(self, ids: np.ndarray, part: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.forward(ids, part)[0] + self.shift, -30, 30)))
+        return self.calibrated(self.forward(ids, part)[0])
+
+    def calibrated(self, logit: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
+
+    def scores(self, raw: bytes, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
+        """Calibrated scores of spans, in groups of CELLS bytes at most; longer spans by themselves."""
+        width, out, k = np.array([t - f for f, _, _, t in spans], np.int64), np.zeros(len(spans)), 0
+        order = np.argsort(width, kind="stable")
+        while k < len(order):
+            if width[order[k]] > WINDOW:
+                out[order[k]] = self.calibrated(np.array(self.pooled(raw, spans[order[k]])))
+                k += 1
+                continue
+            last = k + 1
+            while last < len(order) and width[order[last]] <= WINDOW and (last + 1 - k) * width[order[last]] <= CELLS:
+                last += 1
+            own = order[k:last]
+            out[own] = self.probability(*windows(raw, [spans[x] for x in own]))
+            k = last
+        return out
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 13) -> list[tuple[bytes, int, int, int]]:
@@ -154,7 +201,11 @@ def labelled_findings(n: int = FINDINGS, seed: int = 13) -> list[tuple[bytes, in
     opened = lambda: one('="', " = \"", ": '", ": ", "=", " = ", ":")
 
     def secret() -> tuple[str, str]:
-        k = size(0, 10)
+        k = size(0, 12)
+        if k == 10:
+            return one("https://", "http://", "postgres://", "ftp://") + pick(lower, size(3, 9)) + ":", pick(alnum + "!$%&*", size(8, 20))
+        if k == 11:
+            return one("password", "passphrase", "secret", "PASSWORD", "db_password") + one('="', ' = "', ': "'), " ".join(pick(lower, size(3, 8)) for _ in range(size(2, 5)))
         if k < 4:
             name = one("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "API_KEY", "access_key", "auth", "SECRET_KEY", "client_secret", "PASSWORD", "Token", "bearer", "db_password", "private_key")
             value = one(pick(hexa, size(16, 65)), pick(hexa, size(16, 25)), pick(alnum, size(10, 44)), b64(size(12, 40)), pick(lower, size(3, 7)) + pick(string.digits, size(2, 5)) + pick("!@#$%&*", 1) + pick(alnum, size(1, 5)))
@@ -204,7 +255,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = 13) -> list[tuple[bytes, in
         left = prose(0, 8)
         head = (left + (" " if left else "") + before).encode()
         body = value.encode()
-        tail = (one('"', "'", "", "", ".", ",", "\n") if before[-1:] in "\"'" and before else one("", "", "", ".", ",", "\n", "***", "###", "$$$", "%%%", "&&&", "!!")) + " " + prose(0, 6)
+        if label and before.endswith(":") and "://" in before:
+            tail = "@" + pick(lower, size(3, 9)) + one(".example.com", ".test", ":5432/x") + " "
+        elif " " in value and before[-1:] in ("'", '"'):
+            tail = before[-1] + " " + prose(0, 6)
+        else:
+            tail = (one('"', "'", "", "", ".", ",", "\n") if before[-1:] in "\"'" and before else one("", "", "", ".", ",", "\n", "***", "###", "$$$", "%%%", "&&&", "!!")) + " " + prose(0, 6)
         out.append((head + body + tail.encode(), len(head), len(head) + len(body), label))
     return out
 
@@ -264,11 +320,7 @@ def findings(net: Network, data: np.ndarray, at: np.ndarray) -> list[tuple[int,
         base = int(at[i])
         raw = data[base : int(at[j])].tobytes()
         spans = [_around(s - base, e - base, int(at[i + row]) - base, int(at[i + row + 1]) - base) for row, s, e, _ in own]
-        order = sorted(range(len(own)), key=lambda k: spans[k][3] - spans[k][0])
-        score = np.zeros(len(own))
-        for k in range(0, len(order), 128):
-            part = order[k : k + 128]
-            score[part] = net.probability(*windows(raw, [spans[x] for x in part]))
+        score = net.scores(raw, spans)
         out += [(i + row, s, e, kind, float(p)) for (row, s, e, kind), p in zip(own, score) if p >= net.threshold]
     return out
 
