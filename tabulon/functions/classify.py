@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LEFT, RIGHT, WORD, latin_search_text
+from .text import LEFT, RIGHT, WORD, latin_search_text, once
 
 
 def phrase(p: str) -> str:
@@ -67,8 +67,12 @@ def pattern_of(phrases: list[str]) -> str:
 
 def labels(folded: Column, table: dict[str, list[str]], exclusions: list[str]) -> Column:
     """The labels whose phrases occur, in the table's order; none if an exclusion does."""
-    hits = F.array_compact(F.array(*(F.when(folded.rlike(pattern_of(p)), F.lit(k)) for k, p in table.items())))
-    return F.when(folded.rlike(pattern_of(exclusions)), F.array().cast("array<string>")).otherwise(hits)
+
+    def found(text: Column) -> Column:
+        hits = F.array_compact(F.array(*(F.when(text.rlike(pattern_of(p)), F.lit(k)) for k, p in table.items())))
+        return F.when(text.rlike(pattern_of(exclusions)), F.array().cast("array<string>")).otherwise(hits)
+
+    return once(folded, found)
 
 
 def searchable(title: Column, summary: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ def _decomposed() -> dict[str, str]:
 
 
 _MARKS = _decomposed()
+#: Cyrillic letters and letters with marks, to what is left of them.
+_FOLDED = dict(zip(_CYRILLIC, _LATIN)) | {k: dict(zip(_CYRILLIC, _LATIN)).get(v, v) for k, v in _MARKS.items()}
 LOOKALIKES = dict(zip("ТГІILЗ56ABCO", "11111" + "3" + "ББАБЦ0"))
 
 
@@ -42,11 +45,20 @@ def strip_marks(c: Column) -> Column:
 
 
 def latin_search_text(c: Column) -> Column:
-    """Cleaned lower-case text with Cyrillic letters in Latin and no diacritics."""
-    out = F.lower(clean_text(c))
-    for letter, two in _PAIRS.items():
-        out = F.replace(out, F.lit(letter), F.lit(two))
-    return strip_marks(F.translate(out, _CYRILLIC, _LATIN))
+    """Cleaned lower-case text with Cyrillic letters in Latin and no diacritics. ASCII texts are done after cleaning; the text is bound once, so that what is built on this isn't computed again for each use."""
+
+    def fold(plain: Column) -> Column:
+        out = plain
+        for letter, two in _PAIRS.items():
+            out = F.replace(out, F.lit(letter), F.lit(two))
+        return F.regexp_replace(F.translate(out, "".join(_FOLDED), "".join(_FOLDED.values())), "[\\u0300-\\u036F]", "")
+
+    return once(F.lower(clean_text(c)), lambda plain: F.when(plain.rlike("[^\\x00-\\x7F]"), fold(plain)).otherwise(plain))
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def slugify(c: Column) -> Column:

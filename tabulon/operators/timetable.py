@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions.dates import parse_time, textual_date
-from tabulon.functions.text import canonical_group, clean_text, explicit_room, latin_search_text, or_null
+from tabulon.functions.text import canonical_group, clean_text, explicit_room, once, or_null
 
 _LETTERS = "0-9A-Za-zА-Яа-яЂђЈјЉљЊњЋћЏџ"
 ROOM = f"\\(\\s*([{_LETTERS}][-{_LETTERS} /.]{{0,15}}?)\\s*\\)"
@@ -52,16 +52,22 @@ def entry_room(raw: Column, room: Column, rooms: Column) -> Column:
     return F.coalesce(explicit_room(raw), room, F.when(F.size(only) == 1, F.get(only, F.lit(0))))
 
 
-_LEVELS = "|".join(("MAS", "OAS", "МАС", "ОАС"))
+_LEVELS = "MAS|OAS|МАС|ОАС"
 _DAYS = "|".join("ponedeljak utorak sreda cetvrtak četvrtak petak subota nedelja nedjelja понедељак уторак среда четвртак петак субота недеља".split())
-EXAM = f"(?iu)^(?:[0-9]+\\s+)?({_LEVELS})\\s+([0-9]{{4}})" + "\\s+(\\S+)" * 3 + f"\\s+(.+?)\\s+((?:{_DAYS}),\\s*[0-9]{{1,2}}[.] *\\S+ *[0-9]{{4}}[.])\\s*([0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?)?\\s*$"
+_GAP = "[\\s\u00a0]*"
+EXAM = f"(?iu)^(?:[0-9]+\\s+)?({_LEVELS})\\s+([0-9]{{4}})" + "\\s+(\\S+)" * 3 + f"\\s+(.+?)\\s+((?:{_DAYS}),\\s*[0-9]{{1,2}}[.]{_GAP}\\S+{_GAP}[0-9]{{4}}[.]){_GAP}([0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?)?\\s*$"
 
 
 def exam_row(line: Column) -> Column:
     """The fields of a line of an exam timetable; NULL for other lines."""
-    part = [F.regexp_extract(F.trim(line), EXAM, k) for k in range(9)]
-    level = latin_search_text(part[1])
+    fields = "\x01".join(f"${k}" for k in range(1, 9))  # matched once; a line that doesn't match stays one field
+    return once(F.split(F.regexp_replace(F.trim(line), EXAM, fields), "\x01"), _exam_fields)
+
+
+def _exam_fields(found: Column) -> Column:
+    part = [F.lit(None), *(F.get(found, F.lit(k)) for k in range(8))]
+    level = F.lower(F.translate(part[1], "ОАСМоасм", "OASMoasm"))
     named = F.when(level == "oas", "osnovne_akademske").when(level == "mas", "master_akademske").otherwise(part[1])
     names = ("accreditation", "semester", "module", "course_code")
     row = F.struct(named.alias("study_level"), *(part[k + 2].alias(n) for k, n in enumerate(names)), F.trim(part[6]).alias("course_name"), textual_date(part[7]).alias("date"), parse_time(or_null(part[8])).alias("time"))
-    return F.when(F.trim(line).rlike(EXAM) & ~F.trim(line).startswith("--"), row)
+    return F.when((F.size(found) == 8) & ~part[1].startswith("--"), row)

@@ -103,9 +103,9 @@ def q_semi_related(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def q_anti_applied(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT o_orderkey, p_partkey FROM orders JOIN (SELECT p_partkey, p_partkey * 7 AS low, p_partkey * 7 + p_size AS high FROM part) ON o_custkey BETWEEN low AND high")
@@ -134,11 +134,11 @@ def q_runs(spark, sf_dir):
 
 
 @query(
-    "WITH a AS (SELECT event_type, value, CASE WHEN value - lag(value) OVER w > 0.05 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value)), b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY value ROWS UNBOUNDED PRECEDING) AS cluster FROM a) "
-    "SELECT event_type, CAST(cluster AS BIGINT) AS cluster, round(avg(value), 4) AS mean, count(*) AS n FROM b GROUP BY 1, 2"
+    "WITH e AS (SELECT event_type, CAST(value AS DECIMAL(18, 2)) AS value FROM events), a AS (SELECT event_type, value, CASE WHEN value - lag(value) OVER w > 0.05 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY event_type ORDER BY value)), b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY value ROWS UNBOUNDED PRECEDING) AS cluster FROM a) "
+    "SELECT event_type, CAST(cluster AS BIGINT) AS cluster, CAST(sum(value) AS DOUBLE) / count(*) AS mean, count(*) AS n FROM b GROUP BY 1, 2"
 )
 def q_gap_cluster(spark, sf_dir):
-    return sequences.gap_clusters(table(spark, sf_dir, "events"), ["event_type"], "value", 0.05).withColumn("mean", F.round("mean", 4))
+    return sequences.gap_clusters(table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)")), ["event_type"], "value", 0.05)
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
@@ -241,16 +241,17 @@ def q_chat_window(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["said"]), "|").alias("history"))
 
 
-@query("SELECT source, count(*) AS record_count, md5(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("SELECT source, count(*) AS record_count, CAST(sum(CAST(('0x' || sha256(text)[1:15]) AS BIGINT)) AS VARCHAR) AS digest FROM documents GROUP BY 1")
 def q_hash_manifest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("record_count"), F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("all"))
-    return d.select("source", "record_count", F.md5(F.array_join(F.transform("all", lambda x: x["h"]), "")).alias("digest"))
+    """The digest of a source is the sum of its texts' hashes: it needs no order, and parts add up."""
+    part = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("record_count"), F.sum(part).cast("string").alias("digest"))
 
 
-@query("WITH n AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE c_acctbal + 1 END AS bal FROM customer WHERE c_custkey % 3 = 0) SELECT c.c_custkey, coalesce(n.bal, c.c_acctbal) AS balance FROM customer c LEFT JOIN n USING (c_custkey)")
+@query("WITH n AS (SELECT c_custkey, c_name, CASE WHEN c_acctbal < 4000 THEN c_acctbal ELSE c_acctbal + 1 END AS bal FROM customer) SELECT c.c_custkey, coalesce(n.bal, c.c_acctbal) AS balance FROM customer c LEFT JOIN n USING (c_custkey)")
 def q_upsert(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), F.lit(0).alias("seen"))
-    new = c.filter("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("balance")).otherwise(F.col("balance") + 1).alias("balance"), F.lit(1).alias("seen"))
+    new = c.select("c_custkey", F.when(F.col("balance") < 4000, F.col("balance")).otherwise(F.col("balance") + 1).alias("balance"), F.lit(1).alias("seen"))
     return sequences.upsert(c, new, "c_custkey", "balance", "seen").select("c_custkey", "balance")
 
 
@@ -288,12 +289,13 @@ def q_cell_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", timetable.parse_cell(cell).alias("c")).select("p_partkey", "c.course", "c.group", "c.room")
 
 
-@query("SELECT o_orderkey, 'osnovne_akademske' AS study_level, 'S' || o_orderkey AS course_code, strftime(o_orderdate, '%Y-%m-%d') AS date, '09:30' AS time FROM orders WHERE year(o_orderdate) >= 2000")
+@query("SELECT o_orderkey, 'osnovne_akademske' AS study_level, 'S' || o_orderkey AS course_code, strftime(o_orderdate + INTERVAL 20 YEAR, '%Y-%m-%d') AS date, '09:30' AS time FROM orders")
 def q_exam_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.add_months("o_orderdate", 240))  # dates are read from 2000 on
     months = F.array(*map(F.lit, "januar februar mart april maj jun jul avgust septembar oktobar novembar decembar".split()))
     day = F.concat(F.dayofmonth("o_orderdate").cast("string"), F.lit(". "), F.get(months, F.month("o_orderdate") - 1), F.lit(" "), F.year("o_orderdate").cast("string"), F.lit("."))
     line = F.concat(F.lit("ОАС 2014 4 РИИ S"), F.col("o_orderkey").cast("string"), F.lit(" Базе података среда, "), day, F.lit(" 9:30:00"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", timetable.exam_row(line).alias("e")).filter("e.date IS NOT NULL").select("o_orderkey", "e.study_level", "e.course_code", "e.date", "e.time")
+    return orders.select("o_orderkey", timetable.exam_row(line).alias("e")).select("o_orderkey", "e.study_level", "e.course_code", "e.date", "e.time")
 
 
 @query()
