@@ -41,6 +41,11 @@ def resolve_groups(raw: Column, lecture: Column, lectures: Column, exercises: Co
     return F.array_sort(F.when((F.size(found) == 0) & ~lecture, F.array_distinct(wider)).otherwise(found))
 
 
+def first_year(level: Column, semester: Column) -> Column:
+    """Whether groups and rooms are told by notes beside the table: in the first year of basic studies."""
+    return (level == "osnovne_akademske") & semester.isin(1, 2)
+
+
 def rooms_of(groups: Column, table: Column) -> Column:
     """The map of those groups that have a room."""
     return F.map_filter(F.map_from_arrays(groups, F.transform(groups, lambda g: F.try_element_at(table, g))), lambda _, room: room.isNotNull())

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.dates import study_year
+from tabulon.sources.schemas import parse_pdf_name
+
 SITE = "https://www.example.edu"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS = {"li": ("li", ("ul", "ol")), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",))}
@@ -267,3 +270,37 @@ def related(records: DataFrame, site: str = SITE) -> DataFrame:
     return out.join(records.select(F.col("source_url").alias("url")), "url", "left_semi").orderBy("source_url", "ord")
 
 
+LINKS = "array<struct<href:string,url:string,text:string>>"
+
+
+def pdf_links(pages: DataFrame) -> DataFrame:
+    """(pages.., ord, url, text): links of pages (page_url, html, ..) to PDF files, each URL once over all pages, the first."""
+
+    @F.pandas_udf(LINKS)
+    def f(source: pd.Series, base: pd.Series) -> pd.Series:
+        return pd.Series([[{"href": h, "url": absolute(h, b), "text": clean(a.text())} for a in parse(s).find("a") if (h := a.attrs.get("href"))] for s, b in zip(source, base)])
+
+    found = pages.withColumn("__links", f("html", "page_url")).select(*(c for c in pages.columns if c != "html"), F.posexplode("__links").alias("ord", "l"))
+    some = found.filter(F.col("l.href").rlike("(?i)[.]pdf(?:$|[?])") & F.col("l.url").isNotNull()).select(*(c for c in pages.columns if c != "html"), "ord", "l.url", "l.text")
+    first = Window.partitionBy("url").orderBy("page_url", "ord")
+    return some.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
+
+
+def timetable_links(pages: DataFrame) -> DataFrame:
+    """pdf_links of pages (page_url, level, html, ..) whose names are those of timetables, with semester, module, submodule and study_year."""
+    named = pdf_links(pages).withColumn("__n", parse_pdf_name(F.col("url"))).filter("__n IS NOT NULL")
+    return named.select("*", "__n.*").drop("__n").withColumn("study_year", study_year(F.col("level"), F.col("semester")))
+
+
+def until_older(items: DataFrame, least: str) -> DataFrame:
+    """items (source, page, published, ..) of listings, without the pages after the first one whose items are all older than a day."""
+    pages = items.groupBy("source", "page").agg(F.max("published").alias("__newest"))
+    w = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    kept = pages.withColumn("__stop", F.coalesce(F.max(F.col("__newest") < least).over(w), F.lit(False))).filter("NOT __stop").select("source", "page")
+    return items.join(kept, ["source", "page"], "left_semi")
+
+
+def binary_scan(spark, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """(path, sha256, length, content) of files, whatever is in them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"), "length", "content")

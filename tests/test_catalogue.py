@@ -1,7 +1,9 @@
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
-from tabulon.plans import catalogue
+from tabulon.plans import cases, catalogue  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,8 +18,9 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
+    v = v.item() if isinstance(v, np.generic) else v
     return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
