@@ -13,7 +13,7 @@ Documents with the same set of values are gathered first, so a text that thousan
 entry in the forest. Only (tree, prefix, values) rows are shuffled, never texts.
 
 Defined results: a NULL or empty text, or one without words, has no near copies; texts of fewer than SHINGLE words
-are one shingle; rows with a NULL doc_id are in no group and stay; repeated rows are one node; the least doc_id of
+are one shingle, very long ones are signed whole; rows with a NULL doc_id are in no group and stay; repeated rows are one node; the least doc_id of
 a group stays; an empty table gives an empty result; other columns aren't read or pass through.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, documents, fresh, id_text, map_batches, ready
+from .base import cut, documents, fresh, id_text, map_batches, ready, stored
 from .components import components
 from .kernel import buffers, shingles, slices, words
 
@@ -68,31 +68,38 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column("doc_id").take(pa.array(rows)), pa.array([raw[i * width : (i + 1) * width] for i in range(len(rows))], pa.binary())], ["doc_id", "sig"])
 
 
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a binary column of values of one width."""
+    data, at = buffers(column.view(pa.string()) if pa.types.is_binary(column.type) else column.view(pa.large_string()))
+    return data[at[0] : at[-1]].reshape(-1, width)
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (tree, key): edges between documents that near-copy each other, a spanning forest for each region."""
-    tree, keys, sigs, ids = None, [], [], []
+    last, held = None, []
 
-    def emit() -> pa.RecordBatch | None:
+    def emit(key: np.ndarray, sketch: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
         if len(ids) < 2:
             return None
-        key = np.frombuffer(b"".join(keys), ">u4").reshape(len(ids), DEPTH)
-        edges = region_edges(key, np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1))
-        if not len(edges):
-            return None
-        own = np.array(ids, np.int64)
-        return pa.record_batch([pa.array(own[edges[:, 0]]), pa.array(own[edges[:, 1]])], ["a", "b"])
+        edges = region_edges(key.view(">u4").reshape(len(ids), DEPTH), sketch)
+        return pa.record_batch([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], ["a", "b"]) if len(edges) else None
 
     for b in batches:
-        for t, k, s, i in zip(b.column("tree").to_pylist(), b.column("key").to_pylist(), b.column("sketch").to_pylist(), b.column("doc_id").to_pylist()):
-            head = (t, k[: 4 * LEAST_DEPTH])
-            if head != tree:
-                if (out := emit()) is not None:
-                    yield out
-                tree, keys, sigs, ids = head, [], [], []
-            keys.append(k)
-            sigs.append(s)
-            ids.append(i)
-    if (out := emit()) is not None:
+        if not b.num_rows:
+            continue
+        tree, key, sketch, ids = b.column("tree").to_numpy(), _fixed(b.column("key"), 4 * DEPTH), _fixed(b.column("sketch"), TREES * DEPTH), b.column("doc_id").to_numpy()
+        head = np.ascontiguousarray(key[:, : 4 * LEAST_DEPTH]).view(f"V{4 * LEAST_DEPTH}").ravel()
+        change = np.flatnonzero((tree[1:] != tree[:-1]) | (head[1:] != head[:-1])) + 1
+        cuts = [0, *change.tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == 0 and last == (tree[0], head[0].tobytes()):
+                held.append((key[:j], sketch[:j], ids[:j]))
+                continue
+            if held and (out := emit(*(np.concatenate(c) for c in zip(*held)))) is not None:
+                yield out
+            held = [(key[i:j], sketch[i:j], ids[i:j])]
+        last = (tree[-1], head[-1].tobytes())
+    if held and (out := emit(*(np.concatenate(c) for c in zip(*held)))) is not None:
         yield out
 
 
@@ -148,15 +155,16 @@ def region_edges(key: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 def near_edges(docs: DataFrame) -> DataFrame:
     """Edges (a, b) of doc_ids whose components are the groups of near copies."""
     ready(docs.sparkSession)
-    signed = map_batches(id_text(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL"), _sign, "doc_id bigint, sig binary")
-    same = signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.collect_set("doc_id").alias("ids"))
-    same = cut(same.select("sig", "doc_id", F.filter("ids", lambda x: x != F.col("doc_id")).alias("ids")))
+    signed = stored(map_batches(id_text(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL"), _sign, "doc_id bigint, sig binary"), "signatures")
+    same = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    keys = signed.select("doc_id", F.unhex(F.md5("sig")).alias("k"))  # a group of equal signatures may be a third of all rows: its ids are never in one row
+    copies = keys.hint("merge").join(same.select(F.unhex(F.md5("sig")).alias("k"), F.col("doc_id").alias("b")).hint("merge"), "k").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     width = 4 * DEPTH
     sketch = F.unhex(F.concat(*[F.substring(F.hex("sig"), 8 * k + 7, 2) for k in range(TREES * DEPTH)]))
     trees = same.select("doc_id", "sig", sketch.alias("sketch")).select("doc_id", "sketch", F.posexplode(F.array(*[F.substring("sig", 1 + t * width, width) for t in range(TREES)])).alias("tree", "key"))
     ordered = trees.repartition("tree", F.substring("key", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "key", "doc_id")
     found = ordered.mapInArrow(_forest, "a bigint, b bigint")
-    return found.union(same.select(F.explode("ids").alias("a"), F.col("doc_id").alias("b"))).distinct()
+    return found.union(copies).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .base import documents, id_text, map_batches, ready, scratch
@@ -36,7 +37,7 @@ from .kernel import SLICE, buffers, slices, span_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK, END = 16 << 20, 2**31 - 1
+BLOCK = 32 << 20
 
 
 @lru_cache(maxsize=2)
@@ -128,14 +129,14 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32, their low halves and then their high ones, compressed."""
-    x = np.ascontiguousarray(x.astype("<u4"))
-    return pa.compress(np.concatenate([x.astype("<u2"), (x >> np.uint32(16)).astype("<u2")]), codec="zstd", asbytes=True)
+    """Numbers below 2 ** 32, compressed by planes: all lowest bytes first, all highest last."""
+    planes = np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
 
 
 def spread(b: bytes, n: int) -> np.ndarray:
-    halves = np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u2")
-    return halves[:n].astype(np.uint32) | (halves[n:].astype(np.uint32) << np.uint32(16))
+    planes = np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -192,7 +193,7 @@ SPLIT = "block bigint, bucket int, n int, a binary, b binary, c binary"
 
 
 def split_blocks(rows: DataFrame, buckets: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Words and texts of blocks, in the shared folder (so that both are of the same blocks, whatever is computed again). rows: (text, ..); the other columns stay with the texts."""
+    """Words and texts of blocks, in one table of the shared folder (so that both are of the same blocks, whatever is computed again), bucketed by block: texts aren't shuffled to meet their words' ids. rows: (text, ..); the other columns stay with the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -208,9 +209,11 @@ def split_blocks(rows: DataFrame, buckets: int, most: int) -> tuple[DataFrame, D
         if block.parts:
             yield from block.rows(base + number, buckets)
 
-    path = scratch(rows.sparkSession, "blocks")
-    rows.mapInArrow(run, SPLIT).withColumn("kind", F.when(F.col("bucket") < 0, "texts").otherwise("words")).write.partitionBy("kind").parquet(path)
-    both = rows.sparkSession.read.schema(f"{SPLIT}, kind string").parquet(path)
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "blocks")
+    name = f"tabulon_blocks_{path.rsplit('-', 1)[1]}"
+    kept = rows.mapInArrow(run, SPLIT).withColumn("kind", F.when(F.col("bucket") < 0, "texts").otherwise("words"))
+    kept.write.format("parquet").partitionBy("kind").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).saveAsTable(name)
+    both = spark.table(name)
     return both.filter("kind = 'words'").drop("kind"), both.filter("kind = 'texts'").drop("kind")
 
 
@@ -238,45 +241,36 @@ def encoded_words(words: DataFrame, vocabulary: str, with_ids: bool) -> DataFram
                 size = np.fromiter(map(len, ids), np.int64, n) // 4
                 out.append((squeeze(size), squeeze(np.frombuffer(b"".join(ids), "<u4")) if with_ids else b""))
             if out:
-                yield pa.record_batch([b.column("block"), b.column("bucket"), b.column("n"), b.column("a"), *(pa.array(c, pa.binary()) for c in zip(*out))], ["block", "bucket", "n", "a", "b", "c"])
+                yield pa.record_batch([*(b.column(c) for c in ("block", "bucket", "n", "a")), *(pa.array(c, pa.binary()) for c in zip(*out))], ["block", "bucket", "n", "a", "b", "c"])
 
     return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SPLIT)
 
 
 def by_position(rows: DataFrame, vocabulary: str, schema: str, emit, with_ids: bool = True, block: int = BLOCK) -> DataFrame:
     """emit(meta, ids in each text, ids) for the parts of all blocks: a block's encoded words meet its texts, and ids are looked up by the place of each word."""
-    spark = rows.sparkSession
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     words, texts = split_blocks(rows, buckets, block)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found, size, begin, flat = None, [], None, None, None
-        for b in batches:
-            for number_, bucket, n, x, y, z in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "n", "a", "b", "c"))):
-                if number_ != now:
-                    now, found, size = number_, [], None
-                if bucket < END:
-                    count = spread(y, n)
-                    found.append((np.cumsum(spread(x, n), dtype=np.int64), count, spread(z, int(count.sum())) if with_ids else None))
-                    continue
-                if size is None:
-                    place = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
-                    count = np.concatenate([np.zeros(0, np.uint32), *(f[1] for f in found)])
-                    if len(place) and int(place.max()) + 1 != len(place):
-                        raise RuntimeError("a block lacks words")
-                    size, begin = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-                    size[place], begin[place] = count, np.cumsum(count, dtype=np.int64) - count
-                    flat = np.concatenate([np.zeros(0, np.uint32), *(f[2] for f in found)]).astype(np.int32) if with_ids else None
-                    found = []
-                number = spread(y, n)
-                own = size[number]
-                meta = pa.ipc.open_stream(x).read_next_batch()
-                ends = np.cumsum(meta.column("words").fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-                total = np.diff(np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], ends])])
-                yield emit(meta, total, gather(flat, begin[number], own) if with_ids else None)
-
-    both = encoded_words(words, vocabulary, with_ids).unionByName(texts.withColumn("bucket", F.lit(END)))
-    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, schema)
+    def meet(known: pa.Table, parts: pa.Table) -> pa.Table:
+        found = [(np.cumsum(spread(x, n), dtype=np.int64), spread(y, n), z) for n, x, y, z in zip(*(known.column(c).to_pylist() for c in ("n", "a", "b", "c")))]
+        place = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+        count = np.concatenate([np.zeros(0, np.uint32), *(f[1] for f in found)])
+        if len(place) and int(place.max()) + 1 != len(place):
+            raise RuntimeError("a block lacks words")
+        size, begin = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        size[place], begin[place] = count, np.cumsum(count, dtype=np.int64) - count
+        flat = np.concatenate([np.zeros(0, np.uint32), *(spread(z, int(y.sum())) for _, y, z in found)]).astype(np.int32) if with_ids else None
+        out = []
+        for n, x, y in zip(*(parts.column(c).to_pylist() for c in ("n", "a", "b"))):
+            number = spread(y, n)
+            own, meta = size[number], pa.ipc.open_stream(x).read_next_batch()
+            ends = np.cumsum(meta.column("words").fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            total = np.diff(np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], ends])])
+            out.append(emit(meta, total, gather(flat, begin[number], own) if with_ids else None))
+        return pa.Table.from_batches(out) if out else to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    encoded = encoded_words(words, vocabulary, with_ids)
+    return encoded.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(meet, schema)
 
 
 def lists_of(meta: pa.RecordBatch, total: np.ndarray, ids: np.ndarray) -> pa.Array:

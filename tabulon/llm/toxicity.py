@@ -1,10 +1,10 @@
 """Toxicity by lexicon induction over word graphs, one for each language of the lang column.
 
 Seeds are by evidence: of labelled documents (copies and near copies of a text about once), two thirds, by hash, give each word a signed
-likelihood ratio between toxic and clean ones, and Benjamini and Hochberg's procedure takes all words that toxic
-documents favour with a share of false ones below FALSE. Nodes of a language's graph are the words in SUPPORT..COMMON
+likelihood ratio between toxic and clean ones, and of the words that are LIFT times as frequent in toxic ones at least, Benjamini and Hochberg's procedure takes all,
+with a share of false ones below FALSE. Nodes of a language's graph are the words in SUPPORT..COMMON
 of its documents, the seeds, and words below SUPPORT that stand within WINDOW words of seeds in more documents than
-chance gives, by the same procedure. A word in several languages is a node in each one's graph. Edges are positive
+chance gives (LIFT times as many at least), by the same procedure. A word in several languages is a node in each one's graph. Edges are positive
 pointwise mutual information, shifted by LEAST_INFORMATION, of two nodes within WINDOW words, discounted for small
 counts. Random walks with restart, from the seeds and from words that clean documents favour, spread polarity; a
 word's weight is the standardised log ratio of the two, 0 for words that clean documents favour. A document's score is
@@ -37,9 +37,9 @@ from .base import documents, id_text, map_batches, ready, stored
 from .kernel import buffers, mix, shingles, slices, words
 
 SUPPORT, COMMON, RARE, LEAST_DOCS, LEAST_TOXIC, WINDOW, LEAST_PAIRS, LEAST_INFORMATION = 0.005, 0.10, 0.001, 5, 3, 10, 2, 0.3
-FALSE, SEED_RATIO, RESTART, ROUNDS, LEXICON, CUTS = 0.01, 3.5, 0.3, 16, 5.0, (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 14.0)
-#: SIGNIFICANCE 0: no pair of positive information is left out for being within what chance may give. SPAN: nodes whose sums a step's task adds up together. FINE: bins of scores in a factor of e.
-PRECISION, FOLDS, LEAST_HELD, FINE, RANGES, SIGNIFICANCE, BLOCK, SPAN = 0.95, 3, 10, 50, 512, 0.0, 1 << 18, 1 << 12
+FALSE, LIFT, SEED_RATIO, RESTART, ROUNDS, LEXICON, CUTS = 0.01, 3.0, 3.5, 0.3, 16, 5.0, (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 14.0)
+#: SIGNIFICANCE 0: no pair of positive information is left out for being within what chance may give. SPAN: nodes whose sums a step's task adds up together. FINE: bins of scores in a factor of e. HELD: pairs that a task holds before it sends them on.
+PRECISION, FOLDS, LEAST_HELD, FINE, RANGES, SIGNIFICANCE, BLOCK, SPAN, HELD = 0.95, 3, 10, 50, 512, 0.0, 1 << 18, 1 << 12, 2_000_000
 MARKED_BITS = 1 << 26
 
 
@@ -193,6 +193,14 @@ def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
             code, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
             return code, np.bincount(inverse, np.concatenate([x for _, x in held])).astype(np.int64)
 
+        def sent() -> pa.RecordBatch:
+            code, n = merged()
+            held.clear()
+            cuts = np.searchsorted(code // width, np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            rows = [(int(r), int(cuts[r + 1] - cuts[r]), _pack(np.diff(code[cuts[r] : cuts[r + 1]], prepend=r * width)), _pack(n[cuts[r] : cuts[r + 1]])) for r in some]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["r", "size", "codes", "counts"])
+
         for b in batches:
             for _, _, _, key, row, _, _ in keyed(b):
                 number = told.value.number(key)
@@ -208,16 +216,11 @@ def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
                 if found:
                     held.append(np.unique(np.concatenate(found), return_counts=True))
                     size += len(held[-1][0])
-                if size > 3_000_000:
-                    held = [merged()]
-                    size = len(held[0][0]) // 4
-        if not held:
-            return
-        code, n = merged()
-        cuts = np.searchsorted(code // width, np.arange(ranges + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        rows = [(int(r), int(cuts[r + 1] - cuts[r]), _pack(np.diff(code[cuts[r] : cuts[r + 1]], prepend=r * width)), _pack(n[cuts[r] : cuts[r + 1]])) for r in some]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["r", "size", "codes", "counts"])
+                if size > HELD:
+                    yield sent()
+                    size = 0
+        if held:
+            yield sent()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = -1, np.zeros(width, np.int64)
@@ -468,7 +471,7 @@ def _graph_words(own: DataFrame, marked: DataFrame) -> tuple[DataFrame, dict[str
     given = marked.filter("NOT held").select("doc_id", F.concat(F.col("toxic").cast("string"), "lang").alias("lang"))
     texts = likely(own.select("doc_id", "text"), given).hint("merge").join(given.hint("merge"), "doc_id")
     by = word_documents(texts).groupBy(F.substring("lang", 2, 1 << 20).alias("lang"), "h").agg(F.sum(F.when(F.col("lang").startswith("1"), F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("both")).filter(F.col("both") >= LEAST_TOXIC)
-    enough = F.col("k") >= F.greatest(F.lit(float(LEAST_TOXIC)), RARE * F.col("toxic"))
+    enough = (F.col("k") >= F.greatest(F.lit(float(LEAST_TOXIC)), RARE * F.col("toxic"))) & (F.col("k") * F.col("clean") >= LIFT * F.col("toxic") * (F.col("both") - F.col("k")))
     tested = stored(by.join(told, "lang").select("lang", "h", signed_root(F.col("k"), F.col("toxic"), F.col("both") - F.col("k"), F.col("clean")).alias("root"), enough.alias("enough")), "tested")
     found = _evidence(tested).select("lang", "h", "root").toArrow()
     langs, h, root = found["lang"].to_pylist(), found["h"].to_numpy().view(np.uint64), found["root"].to_numpy()
@@ -485,7 +488,7 @@ def _graph_words(own: DataFrame, marked: DataFrame) -> tuple[DataFrame, dict[str
     close = stored(known.select("lang", "h", "n", (F.col("n") < low).alias("rare")).join(near, ["lang", "h"], "left").fillna(0, ["k"]), "close")
     having = {r["lang"]: r["k"] for r in near.filter("h = 0").collect()}
     sums = _by_language(spark, [(r["lang"], r["n"], r["k"], having.get(r["lang"], 0)) for r in close.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()], "all_n bigint, all_k bigint, having bigint")
-    rare = close.filter("rare").join(sums, "lang").select("lang", "h", signed_root(F.col("k"), F.col("n"), F.col("all_k") - F.col("k"), F.col("all_n") - F.col("n")).alias("root"), (F.col("k") >= F.greatest(F.lit(float(LEAST_TOXIC)), RARE * F.col("having"))).alias("enough"))
+    rare = close.filter("rare").join(sums, "lang").select("lang", "h", signed_root(F.col("k"), F.col("n"), F.col("all_k") - F.col("k"), F.col("all_n") - F.col("n")).alias("root"), ((F.col("k") >= F.greatest(F.lit(float(LEAST_TOXIC)), RARE * F.col("having"))) & (F.col("k") * F.col("all_n") >= LIFT * F.col("n") * F.col("all_k"))).alias("enough"))
     every = band.union(_evidence(rare).select("lang", "h")).union(spark.createDataFrame(found).select("lang", "h")).distinct()
     return every.join(tested.select("lang", "h", "root"), ["lang", "h"], "left").fillna(0.0, ["root"]), least
 
