@@ -15,6 +15,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 BATCH = "4MB"
 
+#: Environment of Python workers: freed arrays from 4 MB on go back to the system at once, as workers outlive their tasks.
+FREED = {"MALLOC_MMAP_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package when it isn't installed, and bounds the batches sent to them by bytes, BATCH each, where the session has Spark's own bound: texts are long, and a batch is held on both sides."""
@@ -22,6 +25,8 @@ def ready(spark: SparkSession) -> SparkSession:
     if spark.conf.get(size) in ("67108864b", "64MB", "67108864"):
         spark.conf.set(size, BATCH)
     env = spark.sparkContext.environment
+    for name, value in FREED.items():
+        env.setdefault(name, value)
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)

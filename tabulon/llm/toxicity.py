@@ -182,7 +182,7 @@ def _unpack(b: bytes, n: int) -> np.ndarray:
 def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
     """(a, b, n): how often two nodes, a < b by number, stand within WINDOW words of each other, if LEAST_PAIRS times at least; and (a, -1, n): all such pairs of node a. Pairs are numbered, and each task sends each of RANGES ranges (more for very many nodes) of numbers as compressed differences and counts; a range is summed up in an array of fixed size."""
     told, v = docs.sparkSession.sparkContext.broadcast(nodes), max(1, len(nodes.h))
-    ranges = max(RANGES, v * v >> 22)
+    ranges = max(RANGES, v * v >> 21)
     width = v * v // ranges + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +228,10 @@ def pair_counts(docs: DataFrame, nodes: Nodes) -> DataFrame:
         def out() -> pa.RecordBatch:
             k = np.flatnonzero(total)
             a, b = (k + now * width) // v, (k + now * width) % v
-            degree = np.bincount(np.concatenate([a, b]), np.concatenate([total[k]] * 2), v)
-            ends, often = np.flatnonzero(degree), total[k] >= LEAST_PAIRS
-            cols = (np.concatenate([a[often], ends]), np.concatenate([b[often], np.full(len(ends), -1)]), np.concatenate([total[k][often], degree[ends].astype(np.int64)]))
+            n = total[k]
+            degree = np.bincount(a, n, v) + np.bincount(b, n, v)
+            ends, often = np.flatnonzero(degree), n >= LEAST_PAIRS
+            cols = (np.concatenate([a[often], ends]), np.concatenate([b[often], np.full(len(ends), -1)]), np.concatenate([n[often], degree[ends].astype(np.int64)]))
             total[:] = 0
             return pa.record_batch([pa.array(c.astype(t)) for c, t in zip(cols, (np.int32, np.int32, np.int64))], ["a", "b", "n"])
 
@@ -319,8 +320,8 @@ def _by_language(spark: SparkSession, rows: list[tuple], columns: str) -> DataFr
     return F.broadcast(spark.createDataFrame(rows, f"lang string, {columns}"))
 
 
-def ppmi(pairs: DataFrame, nodes: Nodes) -> DataFrame:
-    """(a, b, w) of pair_counts: discounted pointwise mutual information in their language, where it is LEAST_INFORMATION or more and the count lies SIGNIFICANCE standard deviations above that of chance."""
+def information(pairs: DataFrame, nodes: Nodes) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Of rows (a, b, n) of pair_counts with b >= 0 the edges (a, b, w): discounted pointwise mutual information in their language, where it is LEAST_INFORMATION or more and the count lies SIGNIFICANCE standard deviations above that of chance."""
     degree = np.zeros(len(nodes.h))
     rows = pairs.filter("b < 0").groupBy("a").agg(F.sum("n").alias("n")).toArrow()
     degree[rows["a"].to_numpy()] = rows["n"].to_numpy()
@@ -334,11 +335,16 @@ def ppmi(pairs: DataFrame, nodes: Nodes) -> DataFrame:
         low, good = np.minimum(degree[a], degree[b]), (value >= LEAST_INFORMATION) & (n - chance >= SIGNIFICANCE * np.sqrt(chance))
         return pa.record_batch([pa.array(a[good]), pa.array(b[good]), pa.array((value * (n / (n + 1)) * (low / (low + 1)))[good])], ["a", "b", "w"])
 
-    return map_batches(pairs.filter("b >= 0"), f, "a int, b int, w double")
+    return f
+
+
+def ppmi(pairs: DataFrame, nodes: Nodes) -> DataFrame:
+    """(a, b, w): the edges of pair_counts."""
+    return map_batches(pairs.filter("b >= 0"), information(pairs, nodes), "a int, b int, w double")
 
 
-def packed(edges: DataFrame) -> DataFrame:
-    """(t, size, a, b, w): edges in both directions, those to SPAN nodes a from t * SPAN on, as compressed arrays; w in single precision."""
+def packed(edges: DataFrame, weighed: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda x: x) -> DataFrame:
+    """(t, size, a, b, w): edges in both directions, those to SPAN nodes a from t * SPAN on, as compressed arrays; w in single precision. weighed makes (a, b, w) of the rows of edges, in the same pass, so that a task has one Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -355,7 +361,7 @@ def packed(edges: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["t", "size", "a", "b", "w"])
 
         size = 0
-        for x in batches:
+        for x in map(weighed, batches):
             if x.num_rows:
                 held.append([x.column(c).to_numpy() for c in ("a", "b", "w")])
                 size += x.num_rows
@@ -377,9 +383,9 @@ def walk(step: Callable[[np.ndarray], np.ndarray], start: np.ndarray) -> np.ndar
     return p
 
 
-def walks(edges: DataFrame, nodes: Nodes, start: np.ndarray) -> np.ndarray:
-    """The walks from start (a row for each walk, a column for each node): each step is a job over the edges in the shared folder."""
-    parts, sc = stored(packed(edges).repartition("t"), "edges"), edges.sparkSession.sparkContext
+def walks(edges: DataFrame, nodes: Nodes, start: np.ndarray, weighed: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda x: x) -> np.ndarray:
+    """The walks from start (a row for each walk, a column for each node), over edges as packed takes them: each step is a job over the edges in the shared folder."""
+    parts, sc = stored(packed(edges, weighed).repartition("t"), "edges"), edges.sparkSession.sparkContext
 
     def step(q: np.ndarray) -> np.ndarray:
         told = sc.broadcast(q)
@@ -508,7 +514,8 @@ def induce(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, DataFrame]:
     for x, name in enumerate(names):
         start[:, nodes.home == x] = seeds(ratio[nodes.home == x], least[name])
     if start.any():
-        walked = walks(ppmi(stored(pair_counts(own, nodes), "pairs"), nodes), nodes, start)
+        pairs = stored(pair_counts(own, nodes), "pairs")
+        walked = walks(pairs.filter("b >= 0"), nodes, start, information(pairs, nodes))
         for x in range(len(names)):
             here = nodes.home == x
             weight[here] = polarity(*walked[:, here], ratio[here], CUTS[0])
