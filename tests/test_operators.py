@@ -1,12 +1,14 @@
 """Operators on rows written by hand."""
 
 import json
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions import classify, dates, text
-from tabulon.operators import calendar, joins, sequences, timetable
+from tabulon.operators import calendar, joins, retrieval, sequences, timetable
 from tabulon.sources import html, schemas
 from tabulon.streaming import ingest
 
@@ -190,3 +192,33 @@ def test_incremental_ingest(spark, tmp_path):
     put("2.json", [{"url": "a", "body": "x"}, {"url": "b", "body": "z"}])
     run()
     assert sorted((r.url, r.body) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("a", "x"), ("b", "y"), ("b", "z")]
+
+
+def test_cosine_neighbours(spark):
+    """Against brute force, with copies, a zero and a NULL; blocks are of bounded size."""
+    rng = np.random.default_rng(0)
+    v = np.repeat(rng.normal(size=(120, 8)), 3, axis=0).astype(np.float32)
+    v[7] = 0
+    rows = [(5 * i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)]
+    got = retrieval.cosine_neighbours(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", 4, 5).collect()
+    unit = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1), 1e-300)[:, None]
+    s = np.round(unit @ unit.T, 6)
+    want = {}
+    for i in set(range(len(v))) - {7}:
+        order = [j for j in np.lexsort((np.arange(len(v)), -s[i])) if j not in (i, 7)][:4]
+        want |= {(5 * i, r): (5 * int(j), float(s[i, j])) for r, j in enumerate(order, 1)}
+    assert {(r.id, r["rank"]): (r.neighbour, r.similarity) for r in got} == want
+
+
+def test_cosine_blocks_are_bounded(monkeypatch, spark):
+    """More vectors make more pairs of blocks, and a pair needs memory for one product at a time."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 8 * 2 * 100)
+    rows = spark.range(1000).select("id", F.array(F.sin("id"), F.cos("id")).alias("v"))
+    assert retrieval.cosine_neighbours(rows, "id", "v", 2).count() == 2000
+    a = np.random.default_rng(0).normal(size=(6000, 8))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    tracemalloc.start()
+    found = retrieval.best_pairs(np.arange(6000), a, np.arange(6000, 12000), a, 5, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(f[0]) for f in found] == [30000, 30000] and peak < 8 * 6000 * 6000 / 4
