@@ -222,3 +222,13 @@ def test_cosine_blocks_are_bounded(monkeypatch, spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [len(f[0]) for f in found] == [30000, 30000] and peak < 8 * 6000 * 6000 / 4
+
+
+def test_best_overlap_by_parts(monkeypatch, spark):
+    """A task's rows don't grow with the table: parts of PART_ROWS, whatever the session's number of parts; the same rows as in one part."""
+    rows = spark.range(3000).select((F.col("id") % 700).alias("k"), "id", (F.col("id") % 13).cast("double").alias("y0"), (F.col("id") % 13 + 9.0).alias("y1"))
+    regions = spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("rid"), (F.col("id") % 11).cast("double").alias("r0"), (F.col("id") % 11 + 8.0).alias("r1"))
+    run = lambda: joins.best_overlap(rows, regions, ["k"], "id", 0.5)
+    whole = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(joins, "PART_ROWS", 100)
+    assert run().rdd.getNumPartitions() == 30 and sorted(map(tuple, run().collect())) == whole and len(whole) > 2000
