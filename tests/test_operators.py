@@ -236,7 +236,7 @@ def test_best_overlap_by_parts(monkeypatch, spark):
 
 def test_counts_of_shapes_by_parts(monkeypatch, spark):
     """A task's rows don't grow with the table, whatever the session's number of parts; the same counts as in one part."""
-    box = lambda d, w, h: d.select((F.col("id") % 40).cast("string").alias("page"), F.col("id").alias("rid"), (F.col("id") % 17).cast("double").alias("x0"), (F.col("id") % 17 + w).alias("x1"), (F.col("id") % 5).cast("double").alias("y0"), (F.col("id") % 5 + h).alias("y1"), F.lit("#000000").alias("fill"))
+    box = lambda d, w, h: d.select((F.col("id") % 40).cast("string").alias("page"), F.col("id").alias("rid"), (F.col("id") % 17).cast("double").alias("x0"), (F.col("id") % 17 + w).alias("x1"), (F.floor(F.col("id") / 40) % 5).cast("double").alias("y0"), (F.floor(F.col("id") / 40) % 5 + h).alias("y1"), F.lit("#000000").alias("fill"))
     regions, shapes = box(spark.range(400), 30.0, F.col("id") % 3 + 3.0), box(spark.range(2000), 6.0, 1.0)
     run = lambda: [grid.dashed(regions, shapes).select("page", "rid", "dashed"), grid.with_glyphs(box(spark.range(400), 30.0, 40.0), shapes).select("page", "rid", "glyphs", "drawn")]
     whole = [sorted(map(tuple, d.collect())) for d in run()]
